@@ -161,16 +161,16 @@ def encode_texts(path: str, texts: list[str | None], pattern) -> list[np.ndarray
     """
     cache = _pieces.setdefault(path, {})
     found = [pattern.findall(t) if t else [] for t in texts]
-    new = list(dict.fromkeys(p for f in found for p in f if p not in cache))
-    if len(cache) + len(new) > CACHE_ENTRIES:
+    distinct = set().union(*found)
+    if len(cache) + len(distinct) > CACHE_ENTRIES:
         cache.clear()
-        new = list(dict.fromkeys(p for f in found for p in f))
+    new = [p for p in distinct if p not in cache]
     t = tokenizer(path)
     for at in range(0, len(new), 4096):
         some = new[at : at + 4096]
         for p, e in zip(some, t.encode_batch_fast(some, add_special_tokens=False), strict=True):
             cache[p] = np.array(e.ids, np.uint32).tobytes()
-    return [np.frombuffer(b"".join([cache[p] for p in f]), np.uint32) for f in found]
+    return [np.frombuffer(b"".join(map(cache.__getitem__, f)), np.uint32) for f in found]
 
 
 # -- components -------------------------------------------------------------------------------------------------------

@@ -34,7 +34,9 @@ DEALT = "part long, chunk long, kind int, hashes binary, docs binary, more binar
 META = np.dtype([("doc", "<i8"), ("n", "<i8"), ("fp", "S32")])
 
 
-def _deal(k: int, parts: int):
+def deal(feature, lower: bool, parts: int):
+    """For mapInArrow over (doc_id, text): hash ranges' shares of each chunk's distinct features, and a row about its documents."""
+
     def run(batches):
         chunk = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         for batch in batches:
@@ -42,8 +44,8 @@ def _deal(k: int, parts: int):
             for lo, hi in slices((len(t or "") for t in texts), CHUNK_DOCS, CHUNK_BYTES) if texts else ():
                 hashes, docs, meta = [], [], np.zeros(hi - lo, META)
                 for d in range(lo, hi):
-                    words = split_words(texts[d], lower=True)
-                    s = np.unique(shingles(word_codes(words), k))
+                    words = split_words(texts[d], lower)
+                    s = np.unique(feature(word_codes(words)))
                     hashes.append(s)
                     docs.append(np.full(len(s), d - lo, np.uint16))
                     meta[d - lo] = (ids[d], len(s), xxhash.xxh3_128_hexdigest(b" ".join(words)).encode())
@@ -67,8 +69,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "chunk", "kind", "hashes", "docs", "more"])
 
 
-def _count(t: pa.Table) -> pa.Table:
-    """Of one hash range: the n-grams of at least two documents, for each chunk, with their document frequency."""
+def count(t: pa.Table) -> pa.Table:
+    """Of one hash range that deal() made: the features of at least two documents, for each chunk, with their document frequency."""
     rows = [(0, c, 0, b"", b"", m) for c, k, m in zip(t["chunk"].to_pylist(), t["kind"].to_pylist(), t["more"].to_pylist(), strict=True) if k == 0]
     t = t.filter(pc.equal(t["kind"], 1))
     if t.num_rows:
@@ -220,8 +222,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: float = 0.8, bloc
     """
     spark = docs.sparkSession
     parts = parts_for(docs)
-    dealt = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(_deal(k, parts), DEALT)
-    counted = dealt.groupBy("part").applyInArrow(_count, DEALT)
+    dealt = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(deal(lambda codes: shingles(codes, k), True, parts), DEALT)
+    counted = dealt.groupBy("part").applyInArrow(count, DEALT)
     sets = written(counted.groupBy("chunk").applyInArrow(_order(threshold), SETS))
     classes = written(sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep")))
     able = written(sets.where("prefix is not null").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))

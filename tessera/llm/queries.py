@@ -2,17 +2,45 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import shared_dir, table
 from .ngram_join import jaccard_components
+from .packing import pack
+from .substrings import remove_repeats
+from .token_files import read_tokens, write_tokens
+
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=5, threshold=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join,)}
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    write_tokens(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), path, end_id=1)
+    back = read_tokens(spark.read.parquet(path))
+    return back.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), size=1024, open_bins=1024, end_id=2)
+    return packed.select("doc_id", "piece", "start", (F.length("ids") / 4).cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), span=50, k=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op3_token_files, op5_best_fit_packing, op8_substring_dedup)}
 
 #: Lower-cased words of every document, as op2 and op8 split them.
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -31,5 +59,18 @@ p AS (
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
 SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n
+""",
+    "op8_substring_dedup": f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w),
+s AS (SELECT doc_id, i, md5(array_to_string(w[i:i+49], ' ')) AS s FROM p),
+o AS (SELECT s, min(doc_id) AS owner FROM s GROUP BY s),
+r AS (SELECT s.doc_id, s.i FROM s JOIN o USING (s) WHERE o.owner < s.doc_id),
+c AS (SELECT DISTINCT doc_id, i + unnest(range(0, 50)) AS j FROM r),
+l AS (SELECT doc_id, list(j) AS gone FROM c GROUP BY doc_id),
+k AS (SELECT w.doc_id, len(w.w)::BIGINT AS n_words,
+    CASE WHEN l.gone IS NULL THEN w.w ELSE list_filter(w.w, lambda x, j: NOT list_contains(l.gone, j)) END AS kept
+  FROM w LEFT JOIN l USING (doc_id))
+SELECT doc_id, n_words, n_words - len(kept) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
 """,
 }
