@@ -136,20 +136,21 @@ def slices(sizes: Iterator[int], most_rows: int, most_bytes: int) -> Iterator[tu
 
 # -- tokens -----------------------------------------------------------------------------------------------------------
 
-_tokenizers: dict[str, object] = {}
+_tokenizers: dict[tuple, object] = {}
 _pieces: dict[str, dict] = {}
 
 
-def tokenizer(path: str):
-    """The tokenizer of a vocabulary file, loaded once in a worker."""
-    if path not in _tokenizers:
+def tokenizer(path: str, ordinary: bool = False):
+    """The tokenizer of a vocabulary file, loaded once in a worker; ordinary: special tokens' strings are ordinary text."""
+    if (path, ordinary) not in _tokenizers:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
+        t = _tokenizers[path, ordinary] = Tokenizer.from_file(path)
+        t.encode_special_tokens = ordinary
+    return _tokenizers[path, ordinary]
 
 
 def encode_texts(path: str, texts: list[str | None], pattern) -> list[np.ndarray]:

@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .chat import format_chats, read_back
+from .common import shared_dir, table, written
 from .ngram_join import jaccard_components
 from .packing import pack
 from .substrings import remove_repeats
+from .topk import build_index, top_k
 from .token_files import read_tokens, write_tokens
 
 
@@ -31,16 +33,34 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], rows.schema)
+    back = read_back(written(format_chats(rows.union(own), _vocabulary("byte_bpe_50k.json"))))
+    turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = F.array_join("loss", "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), size=1024, open_bins=1024, end_id=2)
     return packed.select("doc_id", "piece", "start", (F.length("ids") / 4).cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op7_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(build_index(vectors), vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), span=50, k=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op3_token_files, op5_best_fit_packing, op8_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op3_token_files, op4_chat_formatting, op5_best_fit_packing, op7_bit_sliced_topk, op8_substring_dedup)}
 
 #: Lower-cased words of every document, as op2 and op8 split them.
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -72,5 +92,27 @@ k AS (SELECT w.doc_id, len(w.w)::BIGINT AS n_words,
     CASE WHEN l.gone IS NULL THEN w.w ELSE list_filter(w.w, lambda x, j: NOT list_contains(l.gone, j)) END AS kept
   FROM w LEFT JOIN l USING (doc_id))
 SELECT doc_id, n_words, n_words - len(kept) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+""",
+    "op7_bit_sliced_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op4_chat_formatting": r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+n AS (SELECT *, 14 + len(role) + len(text) + 2 * len(role || text)
+    - len(replace(role, '\', '')) - len(replace(text, '\', '')) + (len(role) - len(replace(role, ': ', ''))) // 2
+    + (len(role) - len(replace(role, '</turn>', ''))) // 7 + (len(text) - len(replace(text, '</turn>', ''))) // 7
+    + (len(role) - len(replace(role, '### ', ''))) // 4 + (len(text) - len(replace(text, '### ', ''))) // 4 - len(role || text) AS chars FROM c),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss, sum(chars)::BIGINT AS formatted_chars FROM n GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, len(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
 """,
 }
