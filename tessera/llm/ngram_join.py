@@ -246,6 +246,6 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: float = 0.8, bloc
         cut = cut.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
         pairs = cut.groupBy("block", "i", "j").applyInArrow(_join_blocks(threshold, True), "a long, b long")
         roots = roots.union(connected_components(written(pairs)).select(F.col("node").alias("a"), F.col("root").alias("b")))
-    roots = written(roots.select(F.col("a").alias("rep"), F.col("b").alias("root")))
+    roots = written(roots.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("root")))
     out = sets.select("doc_id", "n", "fp").join(classes, "fp", "left").join(roots, "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "rep")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import encode_texts, slices
 
-#: Pieces at whose bounds byte-level BPE always cuts: white space, or other characters after one blank at most.
-BYTE_PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: Pieces at whose bounds byte-level BPE always cuts: white space, or other characters after one blank at most. Unicode's
+#: White_Space, which \s of re is not.
+SPACE = r"\t-\r \x85\xa0  -     　"
+BYTE_PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 PACKED = "doc_id long, piece int, start long, ids binary, sequence_id long, offset long"
 
 

@@ -9,26 +9,38 @@ from pyspark.sql import functions as F
 
 from .chat import format_chats, read_back
 from .common import shared_dir, table, written
+from .decontaminate import find_leaks
+from .masked_lm import score, train
 from .ngram_join import jaccard_components
 from .packing import pack
+from .pii import pseudonymised
+from .quality import classify
 from .substrings import remove_repeats
 from .topk import build_index, top_k
 from .token_files import read_tokens, write_tokens
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary_file(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+#: For queries and tests; a real run gives its own.
+KEY = "tessera-example-key"
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymised(table(spark, sf_dir, "documents"), KEY, count="n_replaced").select("doc_id", "text", "n_replaced")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=5, threshold=0.8)
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_tokens(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), path, end_id=1)
+    write_tokens(table(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json"), path, end_id=1)
     back = read_tokens(spark.read.parquet(path))
     return back.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
@@ -37,7 +49,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "\\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], rows.schema)
-    back = read_back(written(format_chats(rows.union(own), _vocabulary("byte_bpe_50k.json"))))
+    back = read_back(written(format_chats(rows.union(own), vocabulary_file("byte_bpe_50k.json"))))
     turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     loss = F.array_join("loss", "")
     return back.select(
@@ -47,10 +59,15 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), size=1024, open_bins=1024, end_id=2)
+    packed = pack(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), size=1024, open_bins=1024, end_id=2)
     return packed.select("doc_id", "piece", "start", (F.length("ids") / 4).cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op6_masked_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, *train(docs))
+
+
 def op7_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(build_index(vectors), vectors.where("vec_id % 50 = 0"), k=5)
@@ -60,7 +77,15 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), span=50, k=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op3_token_files, op4_chat_formatting, op5_best_fit_packing, op7_bit_sliced_topk, op8_substring_dedup)}
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_ngram_jaccard_join, op3_token_files, op4_chat_formatting, op5_best_fit_packing, op6_masked_lm_scoring, op7_bit_sliced_topk, op8_substring_dedup, op9_benchmark_decontamination, op10_quality_classifier)}
 
 #: Lower-cased words of every document, as op2 and op8 split them.
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
