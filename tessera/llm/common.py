@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import string
 import tempfile
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -153,25 +155,58 @@ def tokenizer(path: str, ordinary: bool = False):
     return _tokenizers[path, ordinary]
 
 
-def encode_texts(path: str, texts: list[str | None], pattern) -> list[np.ndarray]:
+def _byte_letters() -> dict[int, str]:
+    """The printable character that byte-level BPE has for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
+
+
+class Pieces(dict):
+    """The ids of a text's pieces, as bytes; a piece that is new is encoded once. Starts anew when full.
+
+    A piece of letters, perhaps with ASCII punctuation after it, is one or two words to the tokenizer's own splitting, so
+    its BPE model encodes them directly, and forms with other punctuation share the letters' ids. All other pieces take
+    the whole tokenizer.
+    """
+
+    def __init__(self, path: str, lowers: bool):
+        super().__init__()
+        self.whole, self.lowers = tokenizer(path), lowers
+        self.model = self.whole.model
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        core = piece.rstrip(string.punctuation)
+        letters = core[1:] if core[:1] == " " else core
+        if letters.isalpha() and (not self.lowers or letters.isascii()):
+            if len(core) < len(piece):
+                ids = self[core] + self[piece[len(core) :]]
+            else:
+                word = core.lower() if self.lowers else core
+                raw = word.encode("utf-8").decode("latin-1").translate(_LETTERS)
+                ids = array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
+        else:
+            ids = array("I", self.whole.encode(piece, add_special_tokens=False).ids).tobytes()
+        self[piece] = ids
+        return ids
+
+
+def encode_texts(path: str, texts: list[str | None], pattern, lowers: bool) -> list[np.ndarray]:
     """Token ids of whole texts, as the tokenizer gives them without special tokens.
 
     pattern finds the pieces of a text at whose bounds the tokenizer's own splitting always cuts, so that the ids of a
-    text are those of its pieces. Each piece that the worker's bounded cache lacks is encoded by the tokenizer; all
-    occurrences then share its ids. Null texts are empty.
+    text are those of its pieces; lowers: the tokenizer lower-cases and drops white space. All occurrences of a piece
+    share its ids, which a bounded cache of the worker keeps. Null texts are empty.
     """
-    cache = _pieces.setdefault(path, {})
-    found = [pattern.findall(t) if t else [] for t in texts]
-    distinct = set().union(*found)
-    if len(cache) + len(distinct) > CACHE_ENTRIES:
-        cache.clear()
-    new = [p for p in distinct if p not in cache]
-    t = tokenizer(path)
-    for at in range(0, len(new), 4096):
-        some = new[at : at + 4096]
-        for p, e in zip(some, t.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            cache[p] = np.array(e.ids, np.uint32).tobytes()
-    return [np.frombuffer(b"".join(map(cache.__getitem__, f)), np.uint32) for f in found]
+    if path not in _pieces:
+        _pieces[path] = Pieces(path, lowers)
+    ids = _pieces[path].__getitem__
+    return [np.frombuffer(b"".join(map(ids, pattern.findall(t))) if t else b"", np.uint32) for t in texts]
 
 
 # -- components -------------------------------------------------------------------------------------------------------

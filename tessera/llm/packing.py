@@ -76,7 +76,7 @@ def _pack(path: str, size: int, open_bins: int, end_id: int):
             docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in slices((len(t or "") for t in texts), 1000, 4 << 20) if texts else ():
                 out = []
-                for doc, ids in zip(docs[lo:hi], encode_texts(path, texts[lo:hi], BYTE_PIECES), strict=True):
+                for doc, ids in zip(docs[lo:hi], encode_texts(path, texts[lo:hi], BYTE_PIECES, False), strict=True):
                     raw = ids.tobytes() + end
                     for k, (at, length) in enumerate(pieces(len(raw) // 4, size)):
                         b, offset = bins.place(length)

@@ -217,7 +217,7 @@ def _write(path: str, end_id: int, block_ids: int, segment_ids: int):
         for batch in batches:
             doc, text = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in slices((len(t or "") for t in text), 1000, 4 << 20) if text else ():
-                for d, x in zip(doc[lo:hi], encode_texts(path, text[lo:hi], WORD_PIECES), strict=True):
+                for d, x in zip(doc[lo:hi], encode_texts(path, text[lo:hi], WORD_PIECES, True), strict=True):
                     docs.append(d)
                     ids.append(np.concatenate([x, end]))
                     n += len(x) + 1
