@@ -5,8 +5,8 @@ range coder. A block holds a bounded number of ids and starts from fresh statist
 block's bytes and every block's decoded ids, so that a damaged one is found.
 
 The coder predicts an id from three orders. By the hash of the last two ids and by that of the last one, tables hold the
-id that came then and how often it was right; order 0 is the frequency of sizes of ids. The mixture of the three models'
-counts codes whether one of the predicted ids comes or else the bit length of the id, whose lower bits follow evenly.
+id that came then and how often it was right; order 0 is the frequency of classes of ids. The mixture of the three models'
+counts codes whether one of the predicted ids comes or else the class of the id, within which ids are coded evenly.
 Blocks are coded in lockstep, a lane each, so that numpy does the arithmetic of many blocks at once.
 """
 
@@ -29,9 +29,15 @@ MAGIC, HEADER = b"TSR1", struct.Struct("<4sIQII")  # magic, documents, ids, ids
 
 #: Pieces at whose bounds the word tokenizer always cuts: it drops white space and merges nothing across it.
 WORD_PIECES = re.compile(r"[^ \t\n\r\x0b\x0c]+")
-SLOTS, CONFIDENT, HIT2, HIT1, SYMBOLS = 1 << 11, 3, 0, 1, 20  # symbols: two hits, then bit lengths 0 to 17
-HALVE_EVERY, STEP, START = 128, 24, np.array([60, 30, *[8] * 18], np.uint16)
 U = np.uint64
+SLOTS, CONFIDENT, HIT2, HIT1 = 1 << 11, 3, 0, 1
+#: Order 0's classes of ids: where they start, and how many ids each has.
+STARTS = np.array([0, 256, 1024, 2048, 4096, 8192, 16384, 32768, 1 << 17], np.uint64)
+SIZES = np.concatenate([np.ones(2, np.uint64), np.diff(STARTS)])  # by symbol: two hits, then the classes
+BASES = np.concatenate([np.zeros(2, np.uint64), STARTS[:-1]])
+CLASS = np.repeat(np.arange(2, len(SIZES), dtype=np.uint8), np.diff(STARTS).astype(np.int64))
+SYMBOLS = len(SIZES)
+HALVE_EVERY, STEP, START = 128, 24, np.array([60, 30, *[12] * (SYMBOLS - 2)], np.uint16)
 TOP, BOTTOM = U(1 << 48), U(1 << 32)
 
 
@@ -76,10 +82,6 @@ class _Model:
             self.counts -= self.counts >> 1
 
 
-def _bit_length(ids: np.ndarray) -> np.ndarray:
-    return np.frexp(ids.astype(np.float64))[1].astype(np.uint64)
-
-
 def _settle(low: np.ndarray, width: np.ndarray, move) -> None:
     """Shifts out settled 16-bit words of the lanes' ranges until every range has 32 bits or more; move(lanes) does it."""
     while True:
@@ -112,16 +114,15 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
 
     for x in ids:
         cumulative = model.predict()
-        bits = _bit_length(x)
-        symbol = np.where(x == model.p2, HIT2, np.where(x == model.p1, HIT1, bits.astype(np.int64) + 2))
+        symbol = np.where(x == model.p2, HIT2, np.where(x == model.p1, HIT1, CLASS[x]))
         r = width // cumulative[:, -1]
         below = cumulative[model.at, symbol]
         low += r * below
         width = r * (cumulative[model.at, symbol + 1] - below)
         _settle(low, width, move)
-        rest = np.where(symbol > 2, bits - U(1), U(0))  # the bits that a bit length leaves open; hits leave none
-        width >>= rest
-        low += width * (x & ((U(1) << rest) - U(1)))
+        miss = symbol > HIT1  # a class leaves its ids open, evenly; a hit leaves nothing
+        width //= SIZES[symbol]
+        low += width * np.where(miss, x - BASES[symbol], U(0))
         _settle(low, width, move)
         model.learn(symbol, x)
     for shift in (48, 32, 16, 0):
@@ -156,13 +157,11 @@ def decode_blocks(payloads: list[bytes], lengths: list[int]) -> list[np.ndarray]
         low += r * below
         width = r * (cumulative[model.at, symbol + 1] - below)
         _settle(low, width, move)
-        bits = np.maximum(symbol - 2, 0).astype(np.uint64)
-        rest = np.where(symbol > 2, bits - U(1), U(0))
-        width >>= rest
-        tail = np.minimum((code - low) // width, (U(1) << rest) - U(1))
+        width //= SIZES[symbol]
+        tail = np.minimum((code - low) // width, SIZES[symbol] - U(1))
         low += width * tail
         _settle(low, width, move)
-        x = np.where(symbol > 2, (U(1) << rest) | tail, U(0)).astype(np.uint32)
+        x = (BASES[symbol] + tail).astype(np.uint32)
         x = np.where(symbol == HIT2, model.p2, np.where(symbol == HIT1, model.p1, x))
         model.learn(symbol, x)
         ids[t] = x
