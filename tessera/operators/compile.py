@@ -255,14 +255,19 @@ def table_rel(names, rows, env: Env) -> Rel:
     spark = env.data.spark
     if not rows:
         return Rel(spark.range(0).select(*(F.lit(None).cast("string").alias(name_of(v)) for v in names)), {v: TERM for v in names}, set(names))
-    data = spark.createDataFrame([[None if t is None else key_py(t) for t in r] for r in rows], ", ".join(f"`{name_of(v)}` string" for v in names)) if names else spark.range(len(rows)).select()
-    reps = {}
+    reps, types, cells = {}, [], []
     for i, v in enumerate(names):
-        kinds = {const(r[i]).kind if r[i] is not None and (r[i][0] != "lit" or not r[i][3]) else "term" for r in rows if r[i] is not None}
-        reps[v] = TERM
-        if kinds == {"iri"}:
-            reps[v] = Rep("iri")
-            data = data.withColumn(name_of(v), F.expr(f"substring(`{name_of(v)}`, 2, length(`{name_of(v)}`) - 2)"))
+        own = [r[i] for r in rows]
+        kinds = {const(t).kind if t[0] != "lit" or not t[3] else "term" for t in own if t is not None}
+        kind = kinds.pop() if len(kinds) == 1 else "term"
+        # native columns where all the values have one native kind
+        reps[v], type_, cell = {
+            "iri": (Rep("iri"), "string", lambda t: t[1]), "int": (Rep("int"), "bigint", lambda t: int(t[1])),
+            "str": (Rep("str"), "string", lambda t: t[1]), "dbl": (Rep("dbl"), "double", lambda t: float(t[1].replace("INF", "inf"))),
+        }.get(kind, (TERM, "string", key_py))
+        types.append(f"`{name_of(v)}` {type_}")
+        cells.append([None if t is None else cell(t) for t in own])
+    data = spark.createDataFrame(list(zip(*cells, strict=True)), ", ".join(types)) if names else spark.range(len(rows)).select()
     return Rel(data, reps, {v for i, v in enumerate(names) if all(r[i] is not None for r in rows)})
 
 
