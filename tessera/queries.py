@@ -87,8 +87,8 @@ SPARQL: dict[str, tuple[str, str]] = {
         "SELECT ?k { ?c <customer#c_custkey> ?k FILTER EXISTS { ?o <orders#ref-o_custkey> ?c ; <orders#o_totalprice> ?t FILTER(?t > 300000.0) } }",
         "SELECT c_custkey AS k FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)"),
     "not_exists": (
-        "SELECT ?k { ?c <customer#c_custkey> ?k FILTER NOT EXISTS { ?o <orders#ref-o_custkey> ?c ; <orders#o_orderstatus> "P" } }",
-        "SELECT c_custkey AS k FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')"),
+        "SELECT ?k { ?c <customer#c_custkey> ?k FILTER NOT EXISTS { ?o <orders#ref-o_custkey> ?c ; <orders#o_orderpriority> ?pr ; <orders#o_totalprice> ?t FILTER(?t > 400000.0) } }",
+        "SELECT c_custkey AS k FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)"),
     "exists_in_or": (
         "SELECT ?k { ?d <documents#doc_id> ?k FILTER(?k < 10 || EXISTS { ?l <labels#ref-doc_id> ?d ; <labels#toxic> 1 }) }",
         "SELECT doc_id AS k FROM documents d WHERE doc_id < 10 OR EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1)"),
