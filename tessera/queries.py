@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.engine import query
+from tessera.operators.update import update
+from tessera.plans.session import shared_dir
 from tessera.sources.tables import graph_of
+from tessera.store import Store
+from tessera.streaming.pipeline import Stream
 
 # (SPARQL, SQL) by name; <t#c> stands for the predicate of a column, <t/> for a table's subjects.
 SPARQL: dict[str, tuple[str, str]] = {
@@ -173,8 +180,6 @@ SPARQL: dict[str, tuple[str, str]] = {
 
 def expanded(text: str) -> str:
     """The prefixes of the table graph: <nation#n_name> is <urn:t:nation#n_name>."""
-    import re
-
     text = re.sub(r"<([a-z]+[#/][A-Za-z0-9_\-]+)>", r"<urn:t:\1>", text)
     return "PREFIX xsd: <http://www.w3.org/2001/XMLSchema#> " + text
 
@@ -186,8 +191,61 @@ def _runner(text: str):
     return run
 
 
-QUERIES = {f"sparql_{name}": _runner(text) for name, (text, _) in SPARQL.items()}
-ORACLE = {f"sparql_{name}": sql for name, (_, sql) in SPARQL.items()}
+def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quads of two small tables, in order."""
+    return graph_of(spark, sf_dir, ("nation", "region")).quads().orderBy("s", "p", "o").coalesce(1)
+
+
+def _updated(request: str, text: str):
+    """A query over a store of the small tables' quads after an update."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+        store.load(_nations(spark, sf_dir))
+        update(store, expanded(request))
+        return query(store.snapshot(), expanded(text)).df
+
+    return run
+
+
+def _piped(make):
+    return lambda spark, sf_dir: make(Stream.of(_nations(spark, sf_dir)))
+
+
+def _number(spark_of, n: int) -> DataFrame:
+    return spark_of.sparkSession.createDataFrame([(n,)], "n long")
+
+
+_QUADS = """WITH k AS (SELECT '<urn:t:nation/' || n_nationkey || '>' AS s, unnest(['<urn:t:nation#n_name>', '<urn:t:nation#n_nationkey>', '<urn:t:nation#n_regionkey>', '<urn:t:nation#ref-n_regionkey>']) AS p,
+  unnest(['"' || n_name || '"', '"' || n_nationkey || '"^^<http://www.w3.org/2001/XMLSchema#integer>', '"' || n_regionkey || '"^^<http://www.w3.org/2001/XMLSchema#integer>', '<urn:t:region/' || n_regionkey || '>']) AS o FROM nation
+ UNION ALL SELECT '<urn:t:region/' || r_regionkey || '>', unnest(['<urn:t:region#r_name>', '<urn:t:region#r_regionkey>']), unnest(['"' || r_name || '"', '"' || r_regionkey || '"^^<http://www.w3.org/2001/XMLSchema#integer>']) FROM region),
+n AS (SELECT *, row_number() OVER (ORDER BY s, p, o) - 1 AS ord, count(*) OVER () AS total FROM k)"""
+
+OTHER: dict[str, tuple] = {
+    "update_insert_where": (
+        _updated("INSERT { ?n <urn:x:in> ?name } WHERE { ?n <nation#ref-n_regionkey> ?r . ?r <region#r_name> ?name }", "SELECT (STR(?n) AS ?s) (STR(?name) AS ?region) { ?n <urn:x:in> ?name }"),
+        "SELECT 'urn:t:nation/' || n_nationkey AS s, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "update_delete_where": (
+        _updated("DELETE WHERE { ?n <nation#ref-n_regionkey> <region/1> ; <nation#n_name> ?x }", "SELECT (COUNT(*) AS ?n) { ?s ?p ?o }"),
+        "SELECT (SELECT 4 * count(*) - 2 * count_if(n_regionkey = 1) FROM nation)::BIGINT + (SELECT 2 * count(*) FROM region)::BIGINT AS n"),
+    "update_modify": (
+        _updated("DELETE { ?n <nation#n_name> ?x } INSERT { ?n <nation#n_name> ?u } WHERE { ?n <nation#n_name> ?x ; <nation#n_nationkey> ?k FILTER(?k < 5) BIND(LCASE(?x) AS ?u) }", "SELECT (STR(?x) AS ?name) { ?n <nation#n_name> ?x }"),
+        "SELECT CASE WHEN n_nationkey < 5 THEN lower(n_name) ELSE n_name END AS name FROM nation"),
+    "update_move": (
+        _updated("MOVE DEFAULT TO <urn:x:g> ; INSERT DATA { <urn:x:a> <urn:x:p> 1 } ; DELETE DATA { GRAPH <urn:x:g> { <region/0> <region#r_regionkey> 0 } }", "SELECT ?g (COUNT(*) AS ?n) { { ?s ?p ?o BIND('default' AS ?g) } UNION { GRAPH ?h { ?s ?p ?o } BIND(STR(?h) AS ?g) } } GROUP BY ?g"),
+        "SELECT * FROM (VALUES ('default', 1::BIGINT), ('urn:x:g', (SELECT 4 * count(*) FROM nation)::BIGINT + (SELECT 2 * count(*) FROM region)::BIGINT - 1)) v(g, n)"),
+    "pipe_head": (_piped(lambda s: s.head(10).df.select("s", "p", "o")), _QUADS + " SELECT s, p, o FROM n WHERE ord < 10"),
+    "pipe_skip": (_piped(lambda s: s.skip(95).df.select("s", "p", "o")), _QUADS + " SELECT s, p, o FROM n WHERE ord >= 95"),
+    "pipe_tail": (_piped(lambda s: s.tail(7).df.select("s", "p", "o")), _QUADS + " SELECT s, p, o FROM n WHERE ord >= total - 7"),
+    "pipe_head_subjects": (_piped(lambda s: s.head(3, "subjects").df.select("s", "p", "o")), _QUADS + ", d AS (SELECT *, dense_rank() OVER (ORDER BY s) AS r FROM n) SELECT s, p, o FROM d WHERE r <= 3"),
+    "pipe_tree": (_piped(lambda s: Stream.concat(s, s.head(5)).tree().df.select("s", "p", "o")), _QUADS + " SELECT s, p, o FROM n"),
+    "pipe_concat": (_piped(lambda s: Stream.concat(s.head(2), s.tail(2)).df.select("s", "ord")), _QUADS + " SELECT s, ord FROM n WHERE ord < 2 UNION ALL SELECT s, ord - total + 4 FROM n WHERE ord >= total - 2"),
+    "pipe_merge_count": (_piped(lambda s: _number(s.df, Stream.merge(s, s).count())), _QUADS + " SELECT 2 * count(*) AS n FROM n"),
+    "pipe_distinct_predicates": (_piped(lambda s: _number(s.df, s.distinct("predicates"))), _QUADS + " SELECT count(DISTINCT p) AS n FROM n"),
+}
+
+QUERIES = {f"sparql_{name}": _runner(text) for name, (text, _) in SPARQL.items()} | {name: f for name, (f, _) in OTHER.items()}
+ORACLE = {f"sparql_{name}": sql for name, (_, sql) in SPARQL.items()} | {name: sql for name, (_, sql) in OTHER.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

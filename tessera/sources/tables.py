@@ -17,9 +17,9 @@ KEYS = {
 }
 
 
-def graph_of(spark: SparkSession, folder: str) -> Tables:
+def graph_of(spark: SparkSession, folder: str, only: tuple[str, ...] | None = None) -> Tables:
     """The dataset of a folder of the test tables. lineitem has no key, so its rows' numbers in the file are its subjects;
-    a conversation's turn has the turn after it as #next."""
+    a conversation's turn has the turn after it as #next. only: the tables to take, all by default."""
     prepared(spark)
 
     def read(name: str) -> DataFrame:
@@ -35,4 +35,4 @@ def graph_of(spark: SparkSession, folder: str) -> Tables:
     tables.append(Table("events", F.col("event_id"), "urn:t:events/", {}, graph=F.col("event_type")))
     tables.append(Table("lineitem", F.col("__row"), "urn:t:lineitem/r", {"l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier"}, skip=("__row",)))
     tables.append(Table("conversations", F.col("__turn"), "urn:t:conversations/", {"next": "conversations"}, skip=("__turn",)))
-    return Tables(spark, read, tables)
+    return Tables(spark, read, [t for t in tables if only is None or t.name in only])
