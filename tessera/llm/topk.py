@@ -154,7 +154,7 @@ def _search_block(row: dict, ids: np.ndarray, queries: np.ndarray, best: _Best,
     n, dim, shift = row["rows"], row["dim"], row["shift"]
     own = np.frombuffer(row["ids"], "<i8")
     vectors = np.frombuffer(row["vectors"], np.float64).reshape(n, dim)
-    slices = np.frombuffer(row["slices"], np.uint64).reshape(dim, SLICES, -1)
+    slices = np.frombuffer(row["slices"], np.uint64).reshape(dim, SLICES, -(-n // 64))
     low = np.frombuffer(row["low"], np.float64)
     words = -(-n // 64)
     valid = np.packbits(np.arange(words * 64) < n, bitorder="little").view(np.uint64)
