@@ -80,7 +80,8 @@ def describe(q, env: Env) -> DataFrame:
                 roots.append(rel.df.select(key(rel.val(v)).alias("n")))
     if not roots:
         return spark.createDataFrame([], "s string, p string, o string")
-    triples = env.data.scope(None).select("s", "p", "o")
+    data = env.data if variables or q["targets"] is None else env.data.narrow([t[1] for t in named])
+    triples = data.scope(None).select("s", "p", "o")
     fresh = seen = written(reduce(DataFrame.union, roots).where("n is not null").distinct())
     out = None
     while not fresh.isEmpty():

@@ -113,9 +113,11 @@ def closure(start: Rel, steps: Rel, extra) -> Rel:
 def solutions(s, p, o, data, graph) -> Rel:
     """The solutions of a path between two terms."""
     extra = [graph[1]] if isinstance(graph, tuple) else []
-    if s[0] != "var" and o[0] == "var" and p[0] in ("star", "plus"):
+    if s[0] == "iri" and p[0] == "nps" and not any(back for _, back in p[1]):
+        data = data.narrow([s[1]])
+    if s[0] != "var" and o[0] == "var" and p[0] in ("star", "plus", "opt"):
         found = _from_constant(s, p, data, graph, extra)
-    elif o[0] != "var" and s[0] == "var" and p[0] in ("star", "plus"):
+    elif o[0] != "var" and s[0] == "var" and p[0] in ("star", "plus", "opt"):
         found = _swap(_from_constant(o, (p[0], inverse(p[1])), data, graph, extra), extra)
     else:
         found = pairs(p, data, graph)
@@ -148,7 +150,7 @@ def _constant(t, data, graph, extra) -> Rel:
 
 
 def _from_constant(t, p, data, graph, extra) -> Rel:
-    """(a, b) from one constant; plus starts with its first steps, star with itself."""
+    """(a, b) from one constant; a star and an optional step reach the constant itself too."""
     steps = pairs(p[1], data, graph)
     rep = steps.reps["a"]
     if rep == steps.reps["b"] and rep.kind == "iri" and t[0] == "iri" and t[1].startswith(rep.prefix):
@@ -157,8 +159,8 @@ def _from_constant(t, p, data, graph, extra) -> Rel:
     else:
         steps = steps.as_terms(["a", "b"])
         seed = steps.where(column("a") == key_py(t))
-    found = closure(seed, steps, extra)
-    return _distinct(union(found, _constant(t, data, graph, extra))) if p[0] == "star" else found
+    found = seed if p[0] == "opt" else closure(seed, steps, extra)
+    return found if p[0] == "plus" else _distinct(union(found, _constant(t, data, graph, extra)))
 
 
 __all__ = ["Rep", "nullable", "pairs", "solutions", "term_vars"]

@@ -34,6 +34,10 @@ class Dataset:
         out.default, out.named = [i for n, i in clauses if not n], [i for n, i in clauses if n]
         return out
 
+    def narrow(self, subjects: list[str]) -> Dataset:
+        """A dataset that has all the triples of these subjects."""
+        return self
+
     def named_graphs(self, var: str) -> Rel:
         df = self.scope(("var", var)).select(F.col("g").alias(name_of(var))).distinct()
         return Rel(df, {var: TERM}, {var})
@@ -143,11 +147,15 @@ class Tables(Dataset):
     scan with conditions, and joins of subjects with references are joins of native keys.
     """
 
-    def __init__(self, spark: SparkSession, read, tables: list[Table], base: str = "urn:t:", graphs: str = "urn:g:"):
+    def __init__(self, spark: SparkSession, read, tables: list[Table], base: str = "urn:t:", graphs: str = "urn:g:", every: dict[str, Table] | None = None):
         self.spark, self.read, self.base, self.graphs = spark, read, base, graphs
         self.tables = {t.name: t for t in tables}
+        self.every = every or self.tables  # what references may lead to
         self._frames: dict[str, DataFrame] = {}
 
+    def narrow(self, subjects: list[str]) -> Tables:
+        return Tables(self.spark, self.read, [t for t in self.tables.values() if any(s.startswith(t.prefix) for s in subjects)], self.base, self.graphs, self.tables)
+
     def frame(self, name: str) -> DataFrame:
         if name not in self._frames:
             self._frames[name] = self.read(name)
@@ -173,7 +181,7 @@ class Tables(Dataset):
     def object(self, t: Table, col: str, ref: bool) -> Val:
         c = F.col(col)
         if ref:
-            return Val("iri", c, prefix=self.tables[t.refs[col]].prefix)
+            return Val("iri", c, prefix=self.every[t.refs[col]].prefix)
         kind = NATIVE[dict(self.frame(t.name).dtypes)[col]]
         if kind == "time":
             return Val("time", None, dt=XSD + "dateTime", ts=c.cast("timestamp_ntz"))
@@ -256,6 +264,8 @@ class Tables(Dataset):
     def quads(self) -> DataFrame:
         """Every triple as keys: one scan a table, its columns exploded."""
         out = None
+        if not self.tables:
+            return self.spark.createDataFrame([], "s string, p string, o string, g string")
         for t in self.tables.values():
             df = self.frame(t.name)
             pairs = []
