@@ -43,11 +43,12 @@ class Store:
         out = self.fs.create(new)
         out.write(bytearray(json.dumps({"gen": gen, "epoch": epoch, "log": log}).encode()))
         out.close()
-        current = self._fs_path(f"{self.path}/CURRENT")
-        if self.fs.exists(current):
-            self.fs.delete(current, False)
-        if not self.fs.rename(new, current):
-            raise OSError("CURRENT could not be replaced")
+        jvm = self.spark._jvm
+        overwrite = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+        options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        options[0] = overwrite
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.getFileSystem(self.spark._jsc.hadoopConfiguration()).getUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(new, self._fs_path(f"{self.path}/CURRENT"), options)
 
     @property
     def epoch(self) -> int:
