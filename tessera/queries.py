@@ -155,7 +155,7 @@ SPARQL: dict[str, tuple[str, str]] = {
         "SELECT event_id AS k, year(ts) AS y, month(ts) AS m, day(ts) AS dd, hour(ts) AS h, minute(ts) AS mi FROM events"),
     "fn_hash": (
         "SELECT ?k (MD5(?t) AS ?m) (SHA1(?t) AS ?s1) (SHA256(?t) AS ?s2) { ?d <documents#doc_id> ?k ; <documents#text> ?t }", "SELECT doc_id AS k, md5(text) AS m, sha1(text) AS s1, sha256(text) AS s2 FROM documents"),
-    "fn_regex": ('SELECT ?k { ?p <part#p_partkey> ?k ; <part#p_name> ?n FILTER REGEX(?n, "^p.*[0-4]$", "i") }', "SELECT p_partkey AS k FROM part WHERE regexp_matches(p_name, '^p.*[0-4]$', 'i')"),
+    "fn_regex": ('SELECT ?k { ?p <part#p_partkey> ?k ; <part#p_name> ?n FILTER REGEX(?n, "^[A-M].* (widget|bolt)$", "i") }', "SELECT p_partkey AS k FROM part WHERE regexp_matches(p_name, '^[A-M].* (widget|bolt)$', 'i')"),
     "fn_replace": ('SELECT ?k (REPLACE(?n, "([0-9])[0-9]*", "<$1>") AS ?r) { ?p <part#p_partkey> ?k ; <part#p_name> ?n }', r"SELECT p_partkey AS k, regexp_replace(p_name, '([0-9])[0-9]*', '<\1>', 'g') AS r FROM part"),
     "fn_if_coalesce": (
         'SELECT ?k (IF(?q = 1, "good", "bad") AS ?w) (COALESCE(?q, -1) AS ?c) { ?d <documents#doc_id> ?k OPTIONAL { ?l <labels#ref-doc_id> ?d ; <labels#quality> ?q } }',
