@@ -1,12 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. One pass counts, over all documents, how often each word n-gram of the benchmark occurs.
-2. An item's seeds are its n-grams that are no more frequent than its median one, so that a copied item keeps seeds
-   however often it was copied. A second pass joins passages to items by seeds and aligns the words around them with the
-   item's. Matches score 2, other words and gaps -1 and -2; the local score over that of the whole item is the similarity.
+A pass joins passages to items by seeds, which are all the item's n-grams, and aligns the words around them with the item's.
+Matches score 2, other words and gaps -1 and -2; the local score over that of the whole item is the similarity. No choice
+among an item's n-grams is safe, as any of them may be the only one that an edited copy keeps. What frequent n-grams bring
+is held against a bound instead: an alignment has no more matches than the passage has words of the item.
 
 Words are lower-cased and lose punctuation at their ends. The benchmark is taken in blocks of bounded size, each of which
-every task holds; both passes are maps, and only the counts of the block's n-grams are shuffled.
+every task holds; the pass is a map.
 """
 
 from __future__ import annotations
@@ -84,18 +84,21 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 class Leaks:
     """The items of a block with their seeds; find() aligns a document's passages with them."""
 
-    def __init__(self, ids: list, items: list[np.ndarray], n: int, counts: dict[int, int], threshold: float):
+    def __init__(self, ids: list, items: list[np.ndarray], n: int, threshold: float):
         self.ids, self.items, self.n, self.threshold = ids, items, n, threshold
-        seeds = []
-        for i, codes in enumerate(items):
-            h = windows(codes, n)
-            own = np.array([counts.get(int(x), 0) for x in h])
-            if len(h):
-                seeds += [(int(h[p]), i, p) for p in np.flatnonzero(own <= np.median(own))]
+        seeds = [(int(h), i, p) for i, codes in enumerate(items) for p, h in enumerate(windows(codes, n))]
         self.grams = Grams(np.array([h for h, _, _ in seeds], np.uint64))
         self.places: list[list[tuple[int, int]]] = [[] for _ in self.grams.hashes]
         for h, i, p in seeds:
-            self.places[int(np.searchsorted(self.grams.hashes, np.uint64(h)))].append((i, int(p)))
+            self.places[int(np.searchsorted(self.grams.hashes, np.uint64(h)))].append((i, p))
+        self.words = [np.unique(codes, return_counts=True) for codes in items]
+
+    def most(self, i: int, passage: np.ndarray) -> int:
+        """No alignment of item i in the passage scores more: its words that are there, as often as they are."""
+        words, n = self.words[i]
+        at = np.minimum(np.searchsorted(words, passage), len(words) - 1)
+        there = np.bincount(at[words[at] == passage], minlength=len(words))
+        return MATCH * int(np.minimum(there, n).sum())
 
     def find(self, codes: np.ndarray) -> list[tuple]:
         """(item id, score, similarity, first word, last word + 1) of each item that the document holds, its best passage."""
@@ -107,39 +110,25 @@ class Leaks:
         found = []
         for i, places in hits.items():
             item, best = self.items[i], (0, 0, 0)
-            margin = len(item) // 2 + self.n
+            least = self.threshold * MATCH * len(item)
+            margin = max(0, int((MATCH * len(item) - least) / -GAP)) + 1  # more words between matches cost too much
             group: list[tuple[int, int]] = []
             for place in [*places, (1 << 60, 0)]:
                 if group and place[0] > group[-1][0] + len(item) + margin:
-                    # two seeds, as one may come by chance, unless the item has no more
-                    if len(group) >= min(2, len(item) - self.n + 1):
-                        lo = max(0, min(a - p for a, p in group) - margin)
-                        hi = max(a + len(item) - p for a, p in group) + margin
+                    lo = max(0, min(a - p for a, p in group) - margin)
+                    hi = max(a + len(item) - p for a, p in group) + margin
+                    if self.most(i, codes[lo:hi]) >= least:
                         score, first, last = align(item, codes[lo:hi])
                         best = max(best, (score, lo + first, lo + last), key=lambda x: (x[0], -x[1]))
                     group = []
                 group.append(place)
-            if best[0] >= self.threshold * MATCH * len(item):
+            if best[0] >= least:
                 found.append((self.ids[i], best[0], best[0] / (MATCH * len(item)), best[1], best[2]))
         return sorted(found)
 
 
-def _count(grams: Grams, n: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(grams.hashes), np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                _, number = grams.find(windows(codes_of(text), n))
-                if len(number):
-                    np.add.at(total, number, 1)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(grams.hashes[seen].view(np.int64)), pa.array(total[seen])], ["gram", "n"])
-
-    return run
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.4) -> Iterator[Leaks]:
-    """For each block of the benchmark(item_id, text) what finds its items; the counts cover all of docs.
+def leaks(benchmark: DataFrame, n: int = 3, threshold: float = 0.4) -> Iterator[Leaks]:
+    """For each block of the benchmark(item_id, text) what finds its items.
 
     Items with a null id, or with fewer than n words (null and empty texts among them), cannot be found.
     """
@@ -147,10 +136,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float =
     blocks = max(1, -(-items.count() // ITEMS_BLOCK))
     for b in range(blocks):
         own = sorted(items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect())
-        ids, codes = [r[0] for r in own], [codes_of(r[1]) for r in own]
-        every = Grams(np.concatenate([np.empty(0, np.uint64), *(windows(c, n) for c in codes)]))
-        counts = docs.select("text").mapInArrow(_count(every, n), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-        yield Leaks(ids, codes, n, {r[0] % (1 << 64): r[1] for r in counts}, threshold)
+        yield Leaks([r[0] for r in own], [codes_of(r[1]) for r in own], n, threshold)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.4) -> DataFrame:
@@ -160,7 +146,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: flo
     repeated rows give their pairs each; empty tables give none; other columns are ignored.
     """
     out = None
-    for block in leaks(docs, benchmark, n, threshold):
+    for block in leaks(benchmark, n, threshold):
 
         def run(batches, block=block):
             for batch in batches:
@@ -177,7 +163,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: flo
 def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.4) -> DataFrame:
     """The rows of docs, all columns, that hold no passage of the benchmark."""
     out = docs
-    for block in leaks(docs, benchmark, n, threshold):
+    for block in leaks(benchmark, n, threshold):
 
         def run(batches, block=block):
             for batch in batches:

@@ -119,6 +119,34 @@ def test_decontamination(spark, odd):
     assert find_leaks(df.limit(0), bench).collect() == [] and find_leaks(df, bench.limit(0)).collect() == []
 
 
+def test_edited_and_partial_copies_are_found(spark):
+    """Copies with every 4th or 5th word changed, and halves copied often, of items that occur nowhere else."""
+    r = random.Random(16)
+    words = lambda n: [r.choice("abcdefghij") + r.choice("klmnopqrst") + r.choice("uvwxyz") + r.choice("abcdef") for _ in range(n)]
+    items, docs, want = {}, [], set()
+    for n in (20, 30, 40, 60):
+        for step in (4, 5):
+            i = len(items)
+            items[i] = words(n)
+            copy = [f"changed{k}" if k % step == step - 1 else w for k, w in enumerate(items[i])]
+            docs.append((i, " ".join(words(50) + copy + words(50))))
+            want.add((i, i))
+    for i, often in ((20, 1), (21, 300)):
+        items[i] = words(40)
+        docs += [(1000 * i + k, " ".join(words(30) + items[i][:20] + words(30))) for k in range(often)]
+        want |= {(1000 * i + k, i) for k in range(often)}
+    items[30] = words(5)  # a single n-gram of a short item, similarity 0.6
+    docs.append((30, " ".join(words(9) + items[30][:3] + words(9))))
+    want.add((30, 30))
+    items[31] = words(40)  # 20 words between two halves, similarity 0.5
+    docs.append((31, " ".join(items[31][:20] + words(20) + items[31][20:])))
+    want.add((31, 31))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    df = spark.createDataFrame(docs + [(99, " ".join(words(4000)))], "doc_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in find_leaks(df, bench).collect()} == want
+    assert [x.doc_id for x in decontaminated(df, bench).collect()] == [99]
+
+
 LUHN = lambda s: sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(s))) % 10
 
 
