@@ -211,6 +211,21 @@ def test_quality(spark, odd):
     assert classify(odd, labels).count() == odd.count() and classify(df.limit(0), labels).collect() == []
 
 
+def test_runs_of_a_word_are_rejected(spark):
+    """Although some trusted documents repeat a word three times, which makes runs cheap to the model."""
+    r = random.Random(18)
+    vocab = [r.choice("bcdfg") + r.choice("aeiou") + r.choice("lmnrs") + r.choice("aeiou") for _ in range(150)]
+    clean = lambda i: " ".join([*r.choices(vocab, k=40), *(["so"] * 4 if i % 60 < 2 else []), *r.choices(vocab, k=40)])
+    docs = [(i, clean(i), "en" if i % 2 else "de") for i in range(600)]
+    junk = [(1000 + i, " ".join([r.choice(vocab)] * 150), "en" if i % 2 else "de") for i in range(20)]
+    junk += [(1100 + i, " ".join(r.choices(vocab, k=8) + ["for"] * 90), "en") for i in range(5)]
+    df = spark.createDataFrame(docs + junk, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(500)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.keep for x in classify(df, labels).collect()}
+    assert not any(k for i, k in got.items() if i >= 1000) and sum(got[i] for i in range(600)) >= 585
+    assert sorted(x.doc_id for x in kept(df, labels).collect()) == sorted(i for i, k in got.items() if k)
+
+
 def test_masked_lm(spark, odd):
     r = random.Random(9)
     docs = [(i, " ".join("a b c d e f g h".split()[j % 8] for j in range(r.randrange(8), 400))) for i in range(60)]
