@@ -1,8 +1,8 @@
 """Masked pseudo-likelihood scoring by a bidirectional window network that numpy trains.
 
-Every word is predicted from the two words on either side: their embeddings, one layer of tanh, and a softmax over the
-vocabulary. The vocabulary is the corpus's most frequent words, counted over all documents, and classes of the others by
-their ends. Training is data-parallel over all documents: in each round every partition trains on its share of them from
+Every word is predicted from the two words on either side: their embeddings, one layer of tanh, and a factored softmax: over
+the corpus's most frequent words and classes of the others by their ends, then within a class over all its words by their
+counts. The counts cover all documents and grow with them; a word that is not among those that occur twice counts once. Training is data-parallel over all documents: in each round every partition trains on its share of them from
 the same weights, and the weights, averaged by words, start the next round. A document's score is the sum of the
 log probabilities of its words, each masked in turn.
 """
@@ -15,10 +15,11 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, slices
+from .common import CACHE_ENTRIES, slices, written
 
 PAD, CLASSES, SIDE, BATCH = 0, 15, 2, 4096
 
@@ -45,9 +46,11 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Numbers(dict):
     """Numbers of words: those of the vocabulary after the pad and the classes of other words."""
 
-    def __init__(self, words: list[bytes]):
+    def __init__(self, words: list[bytes], hashes: np.ndarray, counts: np.ndarray, totals: np.ndarray):
         super().__init__()
         self.words = words
+        self.hashes, self.counts = hashes, counts  # of all words that occur twice or more, by hash
+        self.totals = totals  # by number, of the words in a class
         self._fill()
 
     def _fill(self) -> None:
@@ -61,17 +64,29 @@ class Numbers(dict):
         return n
 
     def __reduce__(self):
-        return Numbers, (self.words,)
+        return Numbers, (self.words, self.hashes, self.counts, self.totals)
 
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    def of(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[int]]:
         """(all numbers with SIDE pads around each text, positions of the words, words by text)."""
-        words = [_words(t) for t in texts]
         pad, out = np.zeros(SIDE, np.int32), [np.zeros(SIDE, np.int32)]
         for w in words:
             out += [np.fromiter(map(self.__getitem__, w), np.int32, len(w)), pad]
         ids = np.concatenate(out)
         return ids, np.flatnonzero(ids), [len(w) for w in words]
 
+    def within(self, words: list[list[bytes]], own: np.ndarray) -> np.ndarray:
+        """The log probability of each word in its class, whose number is in own; 0 of the vocabulary's words."""
+        out = np.zeros(len(own))
+        tail = np.flatnonzero(own <= CLASSES)
+        flat = [w for ws in words for w in ws]
+        h = np.fromiter((xxhash.xxh64_intdigest(flat[i], 42) for i in tail.tolist()), np.uint64, len(tail)).view(np.int64)
+        n = np.ones(len(tail))
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            n = np.where(self.hashes[at] == h, self.counts[at], 1)
+        out[tail] = np.log(n / np.maximum(self.totals[own[tail]], n))
+        return out
+
 
 class Network:
     def __init__(self, size: int, width: int = 8, hidden: int = 24, seed: int = 7):
@@ -132,7 +147,18 @@ class Network:
 def train(docs: DataFrame, vocabulary: int = 112, rounds: int = 2) -> tuple[Numbers, Network]:
     """The network trained on every document of docs(doc_id, text) once, a share of them a round."""
     counts = docs.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    numbers = Numbers([bytes(r[0]) for r in counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()])
+    counts = written(counts)
+    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
+    part = (F.crc32(F.expr("substring(word, -2, 2)")) % CLASSES + 1).cast("int")
+    totals = np.zeros(1 + CLASSES)
+    for c, n in counts.groupBy(part.alias("class")).agg(F.sum("n")).collect():
+        totals[c] = n
+    for word, n in top:
+        totals[1 + crc32(bytes(word)[-2:]) % CLASSES] -= n
+    twice = counts.where("n > 1").select(F.xxhash64("word").alias("h"), "n").toArrow()  # 16 bytes a word
+    order = np.argsort(twice["h"].to_numpy())
+    words = Numbers([bytes(r[0]) for r in top], twice["h"].to_numpy()[order], twice["n"].to_numpy()[order], totals)
+    numbers = docs.sparkSession.sparkContext.broadcast(words)
     network = Network(1 + CLASSES + vocabulary)
     for r in range(rounds):
         weights = network.flat()
@@ -142,7 +168,7 @@ def train(docs: DataFrame, vocabulary: int = 112, rounds: int = 2) -> tuple[Numb
             for batch in batches:
                 texts = batch.column(0).to_pylist()
                 for lo, hi in slices((len(t or "") for t in texts), 1000, 2 << 20) if texts else ():
-                    ids, at, _ = numbers.of(texts[lo:hi])
+                    ids, at, _ = numbers.value.of([_words(t) for t in texts[lo:hi]])
                     own.train(ids, at, state)
                     seen += len(at)
             if seen:
@@ -154,7 +180,7 @@ def train(docs: DataFrame, vocabulary: int = 112, rounds: int = 2) -> tuple[Numb
         found = trained.toPandas()  # a row a weight
         if len(found):
             network.load(found.sort_values("i")["w"].to_numpy())
-    return numbers, network
+    return words, network
 
 
 def score(docs: DataFrame, numbers: Numbers, network: Network) -> DataFrame:
@@ -164,13 +190,15 @@ def score(docs: DataFrame, numbers: Numbers, network: Network) -> DataFrame:
     are null, empty or blank. A null doc_id is kept, repeated rows are scored each, an empty table gives an empty result,
     other columns are ignored.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(numbers)
 
     def run(batches):
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in slices((len(t or "") for t in texts), 1000, 2 << 20) if texts else ():
-                ids, at, n = numbers.of(texts[lo:hi])
-                total = np.concatenate([[0], np.cumsum(network.log_probabilities(ids, at))])
+                words = [_words(t) for t in texts[lo:hi]]
+                ids, at, n = shared.value.of(words)
+                total = np.concatenate([[0], np.cumsum(network.log_probabilities(ids, at) + shared.value.within(words, ids[at]))])
                 ends = np.concatenate([[0], np.cumsum(n)])
                 sums = total[ends[1:]] - total[ends[:-1]]
                 means = [s / k if k else None for s, k in zip(sums.tolist(), n, strict=True)]

@@ -239,6 +239,20 @@ def test_masked_lm(spark, odd):
     assert score(odd, *train(odd)).count() == odd.count() and score(odd.limit(0), *train(odd.limit(0))).collect() == []
 
 
+def test_words_of_a_class_have_their_own_probabilities(spark):
+    """A rare word and a frequent one of the same end differ, and those of a class add up to it."""
+    docs = [(i, "a b a b a b often" + ("" if i % 10 else " rather-often")) for i in range(50)] + [(90, "a b a once-often x"), (91, "a b a often x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    numbers, network = train(df, vocabulary=2, rounds=1)
+    got = {x.doc_id: x.log_likelihood for x in score(df, numbers, network).collect()}
+    assert abs(got[91] - got[90] - math.log(51)) < 1e-4
+    words = [b"often", b"rather-often", b"once-often", b"x"]
+    own = numbers.of([words])[0][2:-2]
+    p = np.exp(numbers.within([words], own))
+    for c in set(own.tolist()):
+        assert abs(p[own == c].sum() - 1) < 1e-9
+
+
 def test_network_gradient():
     """Training lowers the loss, and probabilities sum to one."""
     net, state = Network(12), {}
