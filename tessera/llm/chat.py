@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,20 +80,30 @@ def intersect(tokens: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndar
     return mask, np.concatenate([none, *starts]), np.concatenate([none, *ends])
 
 
+#: Turns and characters that are held as Python objects at once.
+MOST_TURNS, MOST_CHARS = 2_000, 1 << 18
+
+
 def _format(path: str, loss_roles: set[str]):
+    kinds = [pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int8()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    names = ["conv_id", "formatted", "ids", "mask", "loss_starts", "loss_ends"]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path, ordinary=True)
         for batch in batches:
-            convs, turns = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in slices((sum(len(x["text"]) for x in c) for c in turns), 256, 1 << 20) if turns else ():
-                done = [render([(x["role"], x["text"]) for x in c], loss_roles) for c in turns[lo:hi]]
-                rows = []
-                for conv, (text, spans), e in zip(convs[lo:hi], done, t.encode_batch([x for x, _ in done], add_special_tokens=False), strict=True):
-                    offsets = np.array(e.offsets, np.int64).reshape(-1, 2)
-                    rows.append((conv, text, np.array(e.ids, np.int32), *(x.astype(k) for x, k in zip(intersect(offsets, spans), (np.int8, np.int32, np.int32), strict=True))))
-                kinds = [pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int8()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-                names = ["conv_id", "formatted", "ids", "mask", "loss_starts", "loss_ends"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            turns = batch.column(1)
+            sizes = (len(x.values) for x in turns)
+            for lo, hi in slices(sizes, 256, MOST_TURNS) if len(turns) else ():
+                own = [x.values for x in turns[lo:hi]]
+                done = [render(list(zip(x.field("role").to_pylist(), x.field("text").to_pylist(), strict=True)), loss_roles) for x in own]
+                convs = batch.column(0)[lo:hi].to_pylist()
+                for a, b in slices((len(x) for x, _ in done), 256, MOST_CHARS):
+                    rows = []
+                    for conv, (text, spans), e in zip(convs[a:b], done[a:b], t.encode_batch([x for x, _ in done[a:b]], add_special_tokens=False), strict=True):
+                        offsets = np.array(e.offsets, np.int32).reshape(-1, 2)
+                        mask, starts, ends = intersect(offsets, spans)
+                        rows.append((conv, text, np.array(e.ids, np.int32), mask, starts.astype(np.int32), ends.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return run
 
@@ -112,15 +123,18 @@ def format_chats(rows: DataFrame, path: str, loss_roles: tuple[str, ...] = ("ass
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """(conv_id, turns array of (role, text), loss array of strings, formatted_chars) from format_chats' rows alone."""
+    kinds = [pa.int64(), pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())])), pa.list_(pa.string()), pa.int64()]
+    names = ["conv_id", "turns", "loss", "formatted_chars"]
 
     def run(batches):
         for batch in batches:
-            rows = [(r["conv_id"], [{"role": a, "text": b} for a, b in parse(r["formatted"])], _pieces(r), len(r["formatted"])) for r in batch.to_pylist()]
-            kinds = [pa.int64(), pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())])), pa.list_(pa.string()), pa.int64()]
-            cols = zip(*rows, strict=True) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["conv_id", "turns", "loss", "formatted_chars"])
+            sizes = pc.utf8_length(batch.column("formatted")).to_pylist()
+            for lo, hi in slices(iter(sizes), 256, MOST_CHARS) if sizes else ():
+                rows = [(r["conv_id"], [{"role": a, "text": b} for a, b in parse(r["formatted"])], _pieces(r), len(r["formatted"])) for r in batch.slice(lo, hi - lo).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return formatted.mapInArrow(run, "conv_id long, turns array<struct<role:string,text:string>>, loss array<string>, formatted_chars long")
+    own = formatted.select("conv_id", "formatted", "loss_starts", "loss_ends")  # neither ids nor mask are read
+    return own.mapInArrow(run, "conv_id long, turns array<struct<role:string,text:string>>, loss array<string>, formatted_chars long")
 
 
 def _pieces(row: dict) -> list[str]:
