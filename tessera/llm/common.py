@@ -18,9 +18,11 @@ CACHE_ENTRIES = 300_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where unset (tests), a temporary folder is set."""
+    """The folder that all executors share: spark.checkpoint.dir; where unset, a temporary folder on local masters only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -38,6 +40,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, longer where df has a column that Spark takes for the same."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of df, for a number of partitions."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 # Titles that show a gender, and names for surrogates by script ---------------------------------------
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа", "Госпожа", "Κυρία"]
@@ -50,6 +50,10 @@ NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_titles})\.? \p{{Lu}}[\p{{L}}\-]+(?: \p{{Lu}}
 DETECT = "|".join((EMAIL, IP, HEX, ACCOUNT, NUMBER, NAME))
 
 
+#: The round from which surrogates may be longer than their entity, as its format may have no free values left; the most rounds.
+WIDER, ROUNDS = 5, 40
+
+
 def _quoted(words: list[str]) -> str:
     return "array(" + ", ".join(f"'{w}'" for w in words) + ")"
 
@@ -95,10 +99,12 @@ def _surrogate(round_: int) -> str:
         return f"array_join(transform(sequence(1, {until}), i -> CASE WHEN {char} RLIKE '[0-9]' THEN cast({digit} AS string) WHEN {char} RLIKE '[@_.+-]' THEN {char} ELSE {letter} END), '')"
 
     top = "length(substring_index(entity, '.', -1))"  # an address keeps its top-level domain
-    octets = f"array_join(transform(split(entity, '[.]'), (o, i) -> cast(CASE length(o) WHEN 1 THEN 1 + {_drawn('9')} WHEN 2 THEN 10 + {_drawn('90')} ELSE 100 + {_drawn('155')} END AS string)), '.')"
+    octet = f"CASE length(o) WHEN 1 THEN 1 + {_drawn('9')} WHEN 2 THEN 10 + {_drawn('90')} ELSE 100 + {_drawn('155')} END" if round_ < WIDER else _drawn("256")
+    octets = f"array_join(transform(split(entity, '[.]'), (o, i) -> cast({octet} AS string)), '.')"
     body = mapped("length(entity)", 26)
     card = f"concat(substring({body}, 1, length(entity) - 1), cast(pmod({_luhn('entity')} - {_luhn(f"concat(substring({body}, 1, length(entity) - 1), '0')")}, 10) AS string))"
-    longer = "''" if round_ < 12 else f"lpad(cast({_drawn(str(10 ** min(9, round_ - 10)), '-1')} AS string), {min(9, round_ - 10)}, '0')"  # the format has no free values left
+    more = min(9, round_ - WIDER + 2)
+    longer = "''" if round_ < WIDER else f"lpad(cast({_drawn(str(10**more), '-1')} AS string), {more}, '0')"
     cases = [
         f"WHEN type = 'EMAIL' THEN concat({longer}, {mapped(f'length(entity) - {top}', 26)}, substring_index(entity, '.', -1))",
         f"WHEN type = 'IP' THEN {octets}",
@@ -117,7 +123,11 @@ def _surrogate(round_: int) -> str:
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """(type, entity, surrogate), written, of the distinct entities(type, entity)."""
+    """(type, entity, surrogate), written, of the distinct entities(type, entity).
+
+    From round WIDER on, surrogates may take more characters than the entity (addresses: octets of any length), so that
+    free values grow tenfold a round and few rounds are left however many entities share a format; an error after ROUNDS.
+    """
     done, left, n = [], entities, 0
     while True:
         seed = F.sha2(F.concat_ws("|", F.lit(key), F.lit(n), "type", "entity"), 256)
@@ -130,6 +140,8 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         n += 1
         if left.isEmpty():
             return written(reduce(DataFrame.union, done))
+        if n == ROUNDS:
+            raise ValueError(f"entities without a free surrogate after {ROUNDS} rounds")
 
 
 def _shown() -> str:
@@ -149,21 +161,23 @@ def pseudonymised(docs: DataFrame, key: str, count: str | None = None) -> DataFr
     """The rows of docs, all columns, with the mentions in text replaced; count: the name of a column for their number.
 
     Null texts stay null, empty ones empty; a null doc_id is like any other; repeated rows are replaced alike; an empty
-    table gives an empty result; columns of other names pass through. The same key gives the same surrogates for the same
+    table gives an empty result; columns of other names, whatever they are, pass through. Where a format has fewer free values
+    than entities, some surrogates are longer than their entity. The same key gives the same surrogates for the same
     corpus; without it they can't be led back.
     """
-    id_ = F.col("doc_id").alias("__id")
-    found = docs.select(id_, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(DETECT), F.lit(0)))).alias("mention"))
+    id_, map_, list_ = fresh(docs, "id", "map", "found")  # no column of docs
+    docs_ = docs.withColumn(id_, F.xxhash64("doc_id", "text"))  # rows of one text share its mentions
+    found = docs_.select(id_, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(DETECT), F.lit(0)))).alias("mention"))
     found = written(found.distinct())
     mentions = found.select("mention").distinct().withColumn("kind", _kind("mention"))
     parts = written(mentions.select("mention", "kind", F.posexplode(F.expr(_parts())).alias("at", "part")).select("mention", "kind", "at", "part.*"))
     names = surrogates(written(parts.select("type", "entity").distinct()), key)
     new = parts.join(names, ["type", "entity"]).groupBy("mention", "kind").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate"))).alias("new"))
     shown = written(new.select("mention", "kind", F.col("new.surrogate").alias("new")).select("mention", F.expr(_shown()).alias("shown")))
-    maps = found.join(shown, "mention").groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("mention", "shown"))).alias("__map"))
-    joined = docs.join(maps, docs["doc_id"].eqNullSafe(maps["__id"]), "left")
-    joined = joined.withColumn("__found", F.when(F.col("__map").isNotNull(), F.regexp_extract_all("text", F.lit(DETECT), F.lit(0))))
-    pieces = F.transform(F.split("text", DETECT, -1), lambda p, i: F.concat(p, F.coalesce(F.try_element_at("__map", F.get("__found", i)), F.get("__found", i), F.lit(""))))
-    text = F.when(F.col("__map").isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))
-    out = [text.alias("text") if c == "text" else docs[c] for c in docs.columns]
-    return joined.select(*out, *([F.coalesce(F.size("__found"), F.lit(0)).cast("long").alias(count)] if count else []))
+    maps = found.join(shown, "mention").groupBy(id_).agg(F.map_from_entries(F.collect_list(F.struct("mention", "shown"))).alias(map_))
+    joined = docs_.join(written(maps), id_, "left")
+    joined = joined.withColumn(list_, F.when(F.col(map_).isNotNull(), F.regexp_extract_all("text", F.lit(DETECT), F.lit(0))))
+    pieces = F.transform(F.split("text", DETECT, -1), lambda p, i: F.concat(p, F.coalesce(F.try_element_at(map_, F.get(list_, i)), F.get(list_, i), F.lit(""))))
+    text = F.when(F.col(map_).isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))
+    out = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*out, *([F.coalesce(F.size(list_), F.lit(0)).cast("long").alias(count)] if count else []))

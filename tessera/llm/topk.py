@@ -9,6 +9,7 @@ coarse sums is bounded by the norms of what quantisation leaves. Rows at or abov
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,25 +17,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shared_dir, written
 
-BLOCK_ROWS, SLICES, QUERY_ROWS, QUERY_BATCH = 4096, 3, 256, 16_384
+BLOCK_ROWS, SLICES, QUERY_ROWS, QUERY_BYTES = 4096, 3, 256, 16 << 20
 ALL = np.uint64(2**64 - 1)
 INDEX = "dim int, rows int, ids binary, vectors binary, slices binary, low binary, shift int, rest double, spread double"
 
 
 def quantised(vector: list | None) -> list[int] | None:
-    """floor(256 * x) of each component; None if it is null, or a component is null or not finite."""
+    """floor(256 * x) of each component; None if it is null, or a component is null or not finite; ValueError from 2**63 on."""
     if vector is None or any(x is None for x in vector):
         return None
     x = np.array(vector, np.float64) * 256
     if not np.isfinite(x).all():
         return None
+    if (np.abs(x) >= 2.0**63).any():
+        raise ValueError("a component's floor(256 * x) takes more than 64 bits")
     return [int(v) for v in np.floor(x)]
 
 
 def _block(ids: list[int], rows: list[list[int]]) -> tuple:
-    v = np.array(rows, np.float64)  # exact below 2**53
+    exact = np.array(rows, np.int64).reshape(len(rows), -1)
+    v = exact.astype(np.float64)  # rounds from 2**53 on, which the search's error bound covers
     n, dim = v.shape
     low = v.min(axis=0) if dim else np.zeros(0)
     width = float((v - low).max()) if dim else 0.0
@@ -45,7 +49,7 @@ def _block(ids: list[int], rows: list[list[int]]) -> tuple:
     padded = np.zeros((dim, -(-n // 64) * 64), np.uint8)
     padded[:, :n] = coarse.T.astype(np.uint8)
     slices = np.stack([np.packbits(padded >> s & 1, axis=1, bitorder="little") for s in range(SLICES)], axis=1) if dim else np.zeros(0, np.uint8)
-    return dim, n, np.array(ids, "<i8").tobytes(), v.tobytes(), slices.tobytes(), low.tobytes(), shift, float(rest), float(spread)
+    return dim, n, np.array(ids, "<i8").tobytes(), exact.tobytes(), slices.tobytes(), low.tobytes(), shift, float(rest), float(spread)
 
 
 def _index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,8 +103,11 @@ def coarse_sums(slices: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
 
 
 def kth_largest(total: list[np.ndarray], valid: np.ndarray, k: int) -> np.ndarray:
-    """For each query the k-th largest sum, from the most significant slice down; -1 with fewer valid rows."""
-    left = np.broadcast_to(valid, (total[0].shape if total else (1, len(valid)))).copy()
+    """For each query the k-th largest sum of its valid rows, from the most significant slice down; -1 with fewer of them.
+
+    valid: bitmaps [queries, words].
+    """
+    left = valid.copy()
     need = np.full(len(left), k)
     short = np.bitwise_count(left).sum(axis=1, dtype=np.int64) < k
     out = np.zeros(len(left), np.int64)
@@ -117,7 +124,7 @@ def kth_largest(total: list[np.ndarray], valid: np.ndarray, k: int) -> np.ndarra
 def at_least(total: list[np.ndarray], valid: np.ndarray, bound: np.ndarray) -> np.ndarray:
     """Bitmaps of the valid rows whose sum is at least each query's bound."""
     bound = np.clip(bound, 0, 1 << len(total))
-    same = np.where(bound[:, None] >> len(total), np.uint64(0), valid[None])
+    same = np.where(bound[:, None] >> len(total), np.uint64(0), valid)
     more = np.zeros_like(same)
     for level in range(len(total) - 1, -1, -1):
         one = (bound >> level & 1).astype(bool)[:, None]
@@ -126,6 +133,29 @@ def at_least(total: list[np.ndarray], valid: np.ndarray, bound: np.ndarray) -> n
     return more | same
 
 
+def candidates_of(own: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Bitmaps [queries, words] of a block's rows but those of each query's own id."""
+    words = -(-len(own) // 64)
+    rows = np.packbits(np.arange(words * 64) < len(own), bitorder="little")
+    valid = np.tile(rows, (len(ids), 1))
+    order = np.argsort(own)
+    lo, hi = (np.searchsorted(own[order], ids, side) for side in ("left", "right"))
+    for q in np.flatnonzero(hi > lo):
+        r = order[lo[q] : hi[q]]
+        np.bitwise_and.at(valid[q], r >> 3, ~(np.uint8(1) << (r & 7).astype(np.uint8)))
+    return valid.view(np.uint64)
+
+
+def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The rows' integer inner products; OverflowError if one takes more than 64 bits."""
+    most = float(np.abs(a.astype(np.float64)).max(initial=0)) * float(np.abs(b.astype(np.float64)).max(initial=0)) * max(1, a.shape[1])
+    if most < 2.0**52:
+        return np.einsum("ij,ij->i", a.astype(np.float64), b.astype(np.float64)).astype(np.int64)
+    if most < 2.0**62:
+        return np.einsum("ij,ij->i", a, b)
+    return np.array([sum(x * y for x, y in zip(r.tolist(), t.tolist(), strict=True)) for r, t in zip(a, b, strict=True)], np.int64)
+
+
 class _Best:
     """The k best rows so far of each query; ties go to the smaller id."""
 
@@ -145,45 +175,46 @@ class _Best:
         count = np.bincount(self.query, minlength=self.n)
         last = np.cumsum(count) - 1
         full = count >= self.k
-        out[full] = self.score[last[full]]
+        score = self.score[last[full]].astype(np.float64)
+        out[full] = score - np.abs(score) * 2.0**-52  # not more than the score itself
         return out
 
 
-def _search_block(row: dict, ids: np.ndarray, queries: np.ndarray, best: _Best, at: int, k: int) -> None:
+def _search_block(row: dict, ids: np.ndarray, exact: np.ndarray, best: _Best, at: int, k: int) -> None:
     """Adds to best what one index block has for some queries, whose first is number `at` of best's."""
     n, dim, shift = row["rows"], row["dim"], row["shift"]
+    queries = exact.astype(np.float64)
     own = np.frombuffer(row["ids"], "<i8")
-    vectors = np.frombuffer(row["vectors"], np.float64).reshape(n, dim)
-    slices = np.frombuffer(row["slices"], np.uint64).reshape(dim, SLICES, -(-n // 64))
-    low = np.frombuffer(row["low"], np.float64)
+    vectors = np.frombuffer(row["vectors"], np.int64).reshape(n, dim)
     words = -(-n // 64)
-    valid = np.packbits(np.arange(words * 64) < n, bitorder="little").view(np.uint64)
+    slices = np.frombuffer(row["slices"], np.uint64).reshape(dim, SLICES, words)
+    low = np.frombuffer(row["low"], np.float64)
+    valid = candidates_of(own, ids)
     step, most = 2.0**shift, 2**SLICES - 1
     unit = np.maximum(np.abs(queries).max(axis=1, initial=0) * step / most, 1e-9)
     weights = np.rint(queries * step / unit[:, None]).astype(np.int64)
     off = queries * step - unit[:, None] * weights
     base = queries @ (low + (step - 1) / 2) + off.sum(axis=1) * most / 2 - unit * most * np.where(weights < 0, -weights, 0).sum(axis=1)
-    error = (np.sqrt((queries**2).sum(axis=1)) * row["rest"] + np.sqrt((off**2).sum(axis=1)) * row["spread"]) * (1 + 1e-9) + 1e-3
+    rounding = (dim + 8) * 2.0**-48 * np.abs(queries).sum(axis=1) * (np.abs(low).max(initial=0) + step * (most + 1))
+    error = (np.sqrt((queries**2).sum(axis=1)) * row["rest"] + np.sqrt((off**2).sum(axis=1)) * row["spread"]) * (1 + 1e-9) + 1e-3 + rounding
     total = coarse_sums(slices, weights)
-    # a query's own row may be among the largest, so one more is taken
-    kth = kth_largest(total, valid, k + 1)
+    kth = kth_largest(total, valid, k)
     floor = np.maximum(np.where(kth >= 0, unit * kth + base - error, -np.inf), best.kth()[at : at + len(queries)])
     bound = np.where(np.isfinite(floor), np.ceil((np.where(np.isfinite(floor), floor, 0) - error - base) / unit - 1e-6), 0)
-    hits = at_least(total, valid, bound.clip(0, 2.0**62).astype(np.int64)) if total else np.broadcast_to(valid, (len(queries), words))
+    hits = at_least(total, valid, bound.clip(0, 2.0**62).astype(np.int64)) if total else valid
     q, r = np.nonzero(np.unpackbits(np.ascontiguousarray(hits).view(np.uint8), axis=1, bitorder="little"))
-    keep = own[r] != ids[q]
-    q, r = q[keep], r[keep]
     for lo in range(0, len(q), 1 << 16):
         a, b = q[lo : lo + (1 << 16)], r[lo : lo + (1 << 16)]
-        score = np.einsum("ij,ij->i", queries[a], vectors[b])
-        best.add(a + at, np.rint(score).astype(np.int64), own[b])
+        best.add(a + at, inner(exact[a], vectors[b]), own[b])
 
 
-def _search(by_dim: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
+def _search(shared, k: int):
     def run(batches):
+        by_dim = shared.value
         best = {d: _Best(len(x), k) for d, (x, _) in by_dim.items()}
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                (row,) = batch.slice(i, 1).to_pylist()
                 if row["dim"] in by_dim:
                     own, queries = by_dim[row["dim"]]
                     for at in range(0, len(own), QUERY_ROWS):
@@ -197,24 +228,31 @@ def _search(by_dim: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
 def top_k(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of queries(vec_id, embedding) its k highest inner products in the index.
 
-    Components are floor(256 * x) and scores exact while components stay below 2**20. Ties go to the smaller vec_id. A
-    query's own row (its vec_id) is no candidate; vectors of another dimension aren't either. With fewer candidates, all
-    are returned. Queries that are null or hold null or non-finite components give no rows; rows with a null vec_id are
-    left out; other columns are ignored. Queries are searched in batches of about QUERY_BATCH, each sent to all tasks; the
-    index is read once a batch, so neither side must fit in memory.
+    Components are floor(256 * x) and scores exact integers; components or scores of more than 64 bits are an error. Ties go
+    to the smaller vec_id. A query's own row (its vec_id) is no candidate; vectors of another dimension aren't either. With
+    fewer candidates, all are returned. Queries that are null or hold null or non-finite components give no rows; rows with
+    a null vec_id are left out; other columns are ignored. Queries are searched in batches of about QUERY_BYTES, each sent
+    to all tasks and freed before the next, and what a batch finds is written; so neither side must fit in memory.
     """
-    queries = queries.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null").dropDuplicates(["vec_id"])
-    batches = max(1, -(-queries.count() // QUERY_BATCH))
-    found = None
+    spark = queries.sparkSession
+    queries = queries.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null and embedding is not null").dropDuplicates(["vec_id"])
+    rows, size = queries.select(F.count("*"), F.sum(F.size("embedding") * 8)).first()
+    batches = max(1, -(-(size or 0) // QUERY_BYTES))
+    if rows:
+        path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+        queries.withColumn("batch", F.pmod(F.xxhash64("vec_id"), F.lit(batches))).repartition("batch").write.partitionBy("batch").parquet(path)
+        queries = spark.read.parquet(path)
+    out = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     for b in range(batches):
         some: dict[int, tuple[list, list]] = {}
-        for i, x in queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(batches)) == b).orderBy("vec_id").collect():
+        for i, x in queries.where(F.col("batch") == b).select("vec_id", "embedding").orderBy("vec_id").collect() if rows else []:
             if (v := quantised(x)) is not None:
-                ids, rows = some.setdefault(len(v), ([], []))
+                ids, vectors = some.setdefault(len(v), ([], []))
                 ids.append(i)
-                rows.append(v)
-        by_dim = {d: (np.array(i, np.int64), np.array(r, np.float64).reshape(len(i), d)) for d, (i, r) in some.items()}
-        part = index.mapInArrow(_search(by_dim, k), "query_id long, vec_id long, score long")
-        found = part if found is None else found.union(part)
+                vectors.append(v)
+        shared = spark.sparkContext.broadcast({d: (np.array(i, np.int64), np.array(r, np.int64).reshape(len(i), d)) for d, (i, r) in some.items()})
+        index.mapInArrow(_search(shared, k), "query_id long, vec_id long, score long").write.mode("append").parquet(out)
+        shared.destroy()
+    found = spark.read.schema("query_id long, vec_id long, score long").parquet(out)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

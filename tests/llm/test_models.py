@@ -13,11 +13,12 @@ from hypothesis import strategies as st
 
 import corpus_pipeline
 from tessera.llm.chat import format_chats, intersect, parse, read_back, render
+from tessera.llm.common import tokenizer
 from tessera.llm.decontaminate import align, decontaminated, find_leaks
 from tessera.llm.masked_lm import Network, score, train
 from tessera.llm.pii import pseudonymised
 from tessera.llm.quality import Model, Vocabulary, classify, kept
-from tessera.llm.topk import at_least, build_index, coarse_sums, kth_largest, top_k
+from tessera.llm.topk import at_least, build_index, coarse_sums, inner, kth_largest, top_k
 
 TEXT = st.text(st.sampled_from("\\#/<>turn: \nAé\U0001f600"), max_size=30)
 
@@ -48,6 +49,12 @@ def test_chats(spark):
         assert [(t.role, t.text) for t in back[conv].turns] == [(r[1] or "", r[2] or "") for r in own]
         assert "".join(back[conv].loss) == "".join(r[2] or "" for r in own if r[1] == "assistant")
     masks = {r.conv_id: r for r in out.collect()}
+    decoder = tokenizer(public_tokenizers.path("byte_bpe_50k.json"), ordinary=True)
+    for r in masks.values():  # the mask by token holds the texts under the loss, and no more than a token's rest around them
+        loss = decoder.decode([i for i, m in zip(r.ids, r.mask) if m], skip_special_tokens=False)
+        spans = "".join(r.formatted[a:b] for a, b in zip(r.loss_starts, r.loss_ends))
+        rest = iter(loss)
+        assert all(c in rest for c in spans) and len(loss) - len(spans) <= 16 * sum(t.role == "assistant" for t in back[r.conv_id].turns)
     assert len(masks[1].mask) == len(masks[1].ids) and 0 < sum(masks[1].mask) < len(masks[1].mask)
     assert format_chats(df.limit(0), public_tokenizers.path("byte_bpe_50k.json")).collect() == []
 
@@ -62,7 +69,7 @@ def test_bit_slices():
     want = np.where(w[:, :, None] >= 0, w[:, :, None] * c, -w[:, :, None] * (7 - c)).sum(axis=1)
     bits = lambda x: np.unpackbits(np.ascontiguousarray(x).view(np.uint8), axis=1, bitorder="little")[:, :130].astype(int)
     assert (sum(bits(t) << i for i, t in enumerate(total)) == want).all()
-    valid = np.packbits(np.arange(192) < 130, bitorder="little").view(np.uint64)
+    valid = np.tile(np.packbits(np.arange(192) < 130, bitorder="little").view(np.uint64), (6, 1))
     assert (kth_largest(total, valid, 4) == np.sort(want, axis=1)[:, -4]).all()
     assert (kth_largest(total, valid, 131) == -1).all()
     bound = np.sort(want, axis=1)[:, -4]
@@ -85,6 +92,31 @@ def test_top_k(spark, ties):
     assert top_k(build_index(df.limit(0)), df).collect() == []
 
 
+@pytest.mark.parametrize("bits", [(22, 22), (30, 30), (8, 52)])
+def test_top_k_of_large_components(spark, bits):
+    """Scores are exact integers, however large the components, and an id that stands twice leaves room for others."""
+    r = np.random.default_rng(14)
+    vectors = {i: (r.random(2 if max(bits) > 22 else 16) * 2 - 1) * 2.0 ** (bits[i % 2] - 9) for i in range(120)}
+    rows = [(i, [float(x) for x in v]) for i, v in vectors.items()]
+    rows += [rows[7]] * 7
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    want = []
+    for q in range(0, 120, 10):
+        s = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i, _ in rows if i != q)[:5]
+        want += [(q, n + 1, i, -x) for n, (x, i) in enumerate(s)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = top_k(build_index(df), df.where("vec_id % 10 = 0"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_inner_products_are_exact():
+    a = np.array([[2**30, -(2**30) + 1], [3, 4]], np.int64)
+    b = np.array([[2**30 - 1, 2**30], [5, -6]], np.int64)
+    assert inner(a, b).tolist() == [sum(x * y for x, y in zip(r, t)) for r, t in zip(a.tolist(), b.tolist())]
+    with pytest.raises(OverflowError):
+        inner(np.array([[2**61, 2**61]]), np.array([[2**61, 2**61]]))
+
+
 def smith_waterman(a, b):
     h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a, 1):
@@ -179,6 +211,17 @@ def test_pii_stays_distinct(spark):
     assert all(a == b for a, b in got) and len({a for a, _ in got}) == len(texts) and not {a for a, _ in got} & set(texts)
 
 
+def test_pii_with_fewer_free_values_than_entities(spark):
+    """Addresses of one digit an octet: 10,000 of them, and 6,561 surrogates of that format; all columns' names are taken."""
+    texts = [f"{a}.{b}.{c}.{d}" for a in range(10) for b in range(10) for c in range(10) for d in range(10)]
+    df = spark.createDataFrame([(None if i % 2 else i, t, "x", "y", "z") for i, t in enumerate(texts)], "doc_id long, text string, id string, __map string, found string")
+    out = pseudonymised(df, "key").collect()
+    got = [r.text for r in out]
+    assert len(set(got)) == len(texts) and not set(got) & set(texts)
+    assert all(re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}", t) and max(map(int, t.split("."))) < 256 for t in got)
+    assert {(r.id, r["__map"], r.found) for r in out} == {("x", "y", "z")}
+
+
 def test_kneser_ney_sums_to_one():
     r = np.random.default_rng(7)
     v = Vocabulary([f"w{i}" for i in range(12)])
