@@ -53,19 +53,29 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of df, for a number of partitions."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size))
+    """Catalyst's size estimate of df, for a number of partitions; where it has none (rows from the driver), 8 MB a partition."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 58 else df.rdd.getNumPartitions() << 23
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def parts_for(df: DataFrame, bytes_each: int = 8 << 20) -> int:
-    """How many hash ranges to deal df's elements to: from the input's size, and some for each reduce task at least."""
-    size = min(input_bytes(df), 1 << 50)
-    return max(4 * shuffle_partitions(df.sparkSession), -(-size // bytes_each))
+def tasks_for(df: DataFrame, bytes_each: int = 8 << 20) -> int:
+    """How many tasks a shuffle of df's elements takes: from the input's size, as many as the session's at least."""
+    return max(shuffle_partitions(df.sparkSession), min(-(-input_bytes(df) // bytes_each), 1 << 15))
+
+
+def dealing(df: DataFrame) -> tuple[int, int, int]:
+    """(hash ranges, documents a chunk, bytes a chunk) to deal df's elements with.
+
+    Ranges grow with the input until a task holds about 100 MB of 100 TB; chunks grow with them, so that a chunk has 16
+    elements or more for a range and rows stay packed.
+    """
+    parts = max(4 * shuffle_partitions(df.sparkSession), min(-(-input_bytes(df) // (8 << 20)), 1 << 20))
+    chunk = min(max(8 << 20, 96 * parts), 96 << 20)
+    return parts, min(1024 * chunk >> 23, (1 << 16) - 1), chunk
 
 
 # -- words and hashes -------------------------------------------------------------------------------------------------
@@ -97,7 +107,7 @@ def word_codes(words: list[bytes]) -> np.ndarray:
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (splitmix64)."""
+    """A 64-bit finaliser; fixed values: the multipliers of splitmix64."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
@@ -170,7 +180,7 @@ def tokenizer(path: str, ordinary: bool = False):
 
 
 def _byte_letters() -> dict[int, str]:
-    """The printable character that byte-level BPE has for each byte."""
+    """The printable character that byte-level BPE has for each byte; fixed values: the ranges that stay as they are."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in shown]
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}

@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
-from tessera.llm.common import connected_components
-from tessera.llm.ngram_join import jaccard_components, trie_join
+from tessera.llm.common import connected_components, shingles
+from tessera.llm.ngram_join import count, deal, gathered, jaccard_components, trie_join
 
 
 def sets_of(text):
@@ -41,8 +43,8 @@ def test_odd_documents(odd):
     assert jaccard_components(odd.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("small_blocks", [False, True])
-def test_random_near_copies(spark, small_blocks):
+@pytest.mark.parametrize("bounds", [{}, {"block_elements": 300, "block_docs": 6}, {"block_elements": 300, "block_docs": 6, "rounds": 0}, {"block_docs": 4, "rounds": 1}])
+def test_random_near_copies(spark, bounds):
     r = random.Random(5)
     bases = [[f"w{r.randrange(400)}" for _ in range(r.randrange(5, 90))] for _ in range(12)]
     passage = [f"p{i}" for i in range(40)]
@@ -56,7 +58,6 @@ def test_random_near_copies(spark, small_blocks):
             words[at:at] = passage
         rows.append((i, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    bounds = {"block_elements": 300, "block_docs": 6} if small_blocks else {}
     assert result(jaccard_components(df, **bounds)) == brute(rows)
 
 
@@ -79,3 +80,20 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(7, 7), (300, 200), (200, 250)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 160)}, 200: 200, 250: 200, 300: 200}
+
+
+def test_common_ngrams_are_an_entry_a_chunk():
+    """A shingle that all documents of a chunk share goes to its hash range once, and its document frequency is whole."""
+    texts = [f"one two three four five {i} {i} {i} x y" for i in range(50)] + ["", None, "one two three four five"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(53), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    chunks = [b for n in (batch, batch) for b in deal(lambda c: shingles(c, 5), True, 3, 100, 1 << 20)([n])]
+    t = pa.Table.from_batches(chunks)
+    assert sum(len(x) // 8 for x, k in zip(t["hashes"].to_pylist(), t["kind"].to_pylist()) if k == 2) == 2
+    parts = [count(t.filter(pc.equal(t["part"], p))) for p in range(3)]
+    back = pa.concat_tables(parts)
+    own = pa.concat_tables([back.filter(pc.equal(back["chunk"], c)) for c in set(back["chunk"].to_pylist())])
+    assert sum(k == 0 for k in own["kind"].to_pylist()) == 2
+    rows = pa.Table.from_batches(chunks[: len(chunks) // 2])
+    back = pa.concat_tables([count(rows.filter(pc.equal(rows["part"], p))) for p in range(3)])
+    meta, h, d, df = gathered(back)
+    assert len(meta) == 53 and sorted(d[df == 51].tolist()) == [*range(50), 52] and len(set(h[df == 51].tolist())) == 1 and set(df.tolist()) <= {51}
