@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm.chat import format_chats, intersect, parse, read_back, render
@@ -179,6 +180,30 @@ def test_edited_and_partial_copies_are_found(spark):
     assert [x.doc_id for x in decontaminated(df, bench).collect()] == [99]
 
 
+def test_recall_against_every_alignment(spark):
+    """Copies with random words changed, dropped and put in, beside exact ones, against aligning every pair in full."""
+    r = random.Random(26)
+    words = [r.choice("abcdefghij") + r.choice("klmnopqrst") + r.choice("uvwxyz") for _ in range(150)]
+    items = {i: r.choices(words, k=r.randrange(8, 50)) for i in range(12)}
+    docs = []
+    for i in range(150):
+        copy = []
+        for w in items[i % 12]:
+            x = r.random() / (0.02 + i % 5 / 10)
+            copy += [w] if x > 1 else [r.choice(words)] if x > 0.6 else [] if x > 0.3 else [w, r.choice(words)]
+        docs.append((i, r.choices(words, k=r.randrange(60)) + copy + r.choices(words, k=r.randrange(60))))
+    want = {(d, i) for d, text in docs for i, item in items.items() if smith_waterman(item, text) >= 0.4 * 2 * len(item)}
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    for block_words in (1 << 20, 90):
+        found = find_leaks(df, bench, block_words=block_words).collect()
+        got = {(x.doc_id, x.item_id) for x in found}
+        assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 60, (len(got), len(want))
+        for x in found:
+            assert x.score == smith_waterman(items[x.item_id], docs[x.doc_id][1])
+        assert {x.doc_id for x in decontaminated(df, bench, block_words=block_words).collect()} == {d for d, _ in docs} - {d for d, _ in got}
+
+
 LUHN = lambda s: sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(s))) % 10
 
 
@@ -236,6 +261,51 @@ def test_kneser_ney_sums_to_one():
         assert abs(sum(p) - 1) < 1e-9, (context, sum(p))
 
 
+def test_perplexity_by_the_formula():
+    """Against interpolated modified Kneser-Ney probabilities computed from dictionaries, n-gram by n-gram."""
+    r = np.random.default_rng(17)
+    v = Vocabulary([f"w{i}" for i in range(9)])
+    texts = [" ".join(f"w{i}" for i in r.zipf(1.4, 25) % 11) for _ in range(30)]
+    tri: dict = {}
+    for t in texts:
+        w = [0, 0, *map(int, v.numbers(t))]
+        for g in zip(w, w[1:], w[2:], strict=False):
+            tri[g] = tri.get(g, 0) + 1
+    counts = {3: tri, 2: {}, 1: {}}
+    for n in (2, 1):
+        for g in counts[n + 1]:
+            counts[n][g[1:]] = counts[n].get(g[1:], 0) + 1
+    off = {}
+    for n, c in counts.items():
+        of = [sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]
+        if not of[0] or not of[1]:
+            off[n] = [0, 0.5, 0.5, 0.5]
+            continue
+        y = of[0] / (of[0] + 2 * of[1])
+        off[n] = [0, *(min(max(k - (k + 1) * y * of[k] / of[k - 1], 0.05), k - 0.05) if of[k - 1] else 0.5 * k for k in (1, 2, 3))]
+
+    def p(g):
+        n = len(g)
+        if n == 0:
+            return 1 / v.size
+        c, own = counts[n], {h: x for h, x in counts[n].items() if h[:-1] == g[:-1]}
+        if not own:
+            return p(g[1:])
+        total, rest = sum(own.values()), sum(off[n][min(x, 3)] for x in own.values())
+        x = c.get(g, 0)
+        return (x - off[n][min(x, 3)]) / total + rest / total * p(g[1:] if n > 1 else ())
+
+    size = np.uint64(v.size)
+    keys = {(int(a) * v.size + int(b)) * v.size + int(c): x for (a, b, c), x in tri.items()}
+    order = sorted(keys)
+    m = Model.trained(v, np.array(order, np.uint64), np.array([keys[k] for k in order]))
+    assert size == v.size
+    for t in [*texts[:5], "w1 w1 w1 new W3! w2", "zz"]:
+        w = [0, 0, *map(int, v.numbers(t))]
+        log = [math.log(p(g)) for g in zip(w, w[1:], w[2:], strict=False)]
+        assert abs(m.perplexity(t)[2] - math.exp(-sum(log) / len(log))) < 1e-6 * m.perplexity(t)[2]
+
+
 def test_quality(spark, odd):
     r = random.Random(8)
     vocab = [r.choice("bcdfg") + r.choice("aeiou") + r.choice("lmnrs") + r.choice(["", "a", "ent"]) for _ in range(120)]
@@ -251,6 +321,8 @@ def test_quality(spark, odd):
     assert rows.columns == df.columns and sorted(x.doc_id for x in rows.collect()) == sorted(i for i, x in got.items() if x.keep)
     none = labels.limit(0)
     assert sum(x.keep for x in classify(df, none).collect()) == 303 and kept(df, none).count() == 303
+    twice = df.union(df).withColumn("lang", F.when(F.col("lang").isNotNull(), F.length("lang")))  # rows twice, a numeric lang
+    assert kept(twice, labels, least=20).count() % 2 == 0
     assert classify(odd, labels).count() == odd.count() and classify(df.limit(0), labels).collect() == []
 
 
