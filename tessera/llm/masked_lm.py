@@ -1,10 +1,14 @@
 """Masked pseudo-likelihood scoring by a bidirectional window network that numpy trains.
 
-Every word is predicted from the two words on either side: their embeddings, one layer of tanh, and a factored softmax: over
-the corpus's most frequent words and classes of the others by their ends, then within a class over all its words by their
-counts. The counts cover all documents and grow with them; a word that is not among those that occur twice counts once. Training is data-parallel over all documents: in each round every partition trains on its share of them from
-the same weights, and the weights, averaged by words, start the next round. A document's score is the sum of the
-log probabilities of its words, each masked in turn.
+Every word is predicted from the two words on either side: their embeddings, one layer of tanh, and a softmax in two steps,
+over groups of the vocabulary and over a group's words, so that a vocabulary of thousands costs two of its square root.
+The vocabulary is the corpus's most frequent words. The others are predicted as one of TAILS classes by their ends; within a
+class a word has the probability of its count, by hash in a table of fixed size, whose cells hold how many occurrences and
+how many different words of the corpus fell there. So the probabilities of all words sum to one wherever they stand.
+
+Training is data-parallel over all documents: in each round every partition trains on its share of them from the same weights,
+and the weights, averaged by words, start the next round. A document's score is the sum of the log probabilities of its words,
+each masked in turn.
 """
 
 from __future__ import annotations
@@ -16,12 +20,15 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import CACHE_ENTRIES, slices, written
 
-PAD, CLASSES, SIDE, BATCH = 0, 15, 2, 4096
+PAD, TAILS, SIDE, BATCH, GROUP = 0, 15, 2, 4096, 64
+CELLS = 1 << 16  # of a tail class
+TRAINERS, SUMS = 4096, 16  # partitions that train, and rows of weights that reach the driver
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -43,28 +50,32 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
+def _tail(word: bytes) -> int:
+    return 1 + crc32(word[-2:]) % TAILS
+
+
 class Numbers(dict):
     """Numbers of words: those of the vocabulary after the pad and the classes of other words."""
 
-    def __init__(self, words: list[bytes], hashes: np.ndarray, counts: np.ndarray, totals: np.ndarray):
+    def __init__(self, words: list[bytes], counts: np.ndarray, different: np.ndarray):
         super().__init__()
         self.words = words
-        self.hashes, self.counts = hashes, counts  # of all words that occur twice or more, by hash
-        self.totals = totals  # by number, of the words in a class
+        self.counts, self.different = counts, different  # [class, cell]: occurrences and different words in the corpus
+        self.totals = np.maximum(counts.sum(axis=1), 1)
         self._fill()
 
     def _fill(self) -> None:
-        self.update((w, 1 + CLASSES + i) for i, w in enumerate(self.words))
+        self.update((w, 1 + TAILS + i) for i, w in enumerate(self.words))
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_ENTRIES + len(self.words):
             self.clear()
             self._fill()
-        n = self[word] = 1 + crc32(word[-2:]) % CLASSES
+        n = self[word] = _tail(word)
         return n
 
     def __reduce__(self):
-        return Numbers, (self.words, self.hashes, self.counts, self.totals)
+        return Numbers, (self.words, self.counts, self.different)
 
     def of(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[int]]:
         """(all numbers with SIDE pads around each text, positions of the words, words by text)."""
@@ -75,25 +86,31 @@ class Numbers(dict):
         return ids, np.flatnonzero(ids), [len(w) for w in words]
 
     def within(self, words: list[list[bytes]], own: np.ndarray) -> np.ndarray:
-        """The log probability of each word in its class, whose number is in own; 0 of the vocabulary's words."""
+        """The log probability of each word in its class, whose number is in own; 0 of the vocabulary's words. A word whose
+        cell is empty counts as one that occurs once."""
         out = np.zeros(len(own))
-        tail = np.flatnonzero(own <= CLASSES)
+        tail = np.flatnonzero(own <= TAILS)
         flat = [w for ws in words for w in ws]
-        h = np.fromiter((xxhash.xxh64_intdigest(flat[i], 42) for i in tail.tolist()), np.uint64, len(tail)).view(np.int64)
-        n = np.ones(len(tail))
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            n = np.where(self.hashes[at] == h, self.counts[at], 1)
-        out[tail] = np.log(n / np.maximum(self.totals[own[tail]], n))
+        h = np.fromiter((xxhash.xxh64_intdigest(flat[i], 42) for i in tail.tolist()), np.uint64, len(tail))
+        cell, c = (h % np.uint64(CELLS)).astype(np.int64), own[tail]
+        out[tail] = np.log(np.maximum(self.counts[c, cell], 1) / np.maximum(self.different[c, cell], 1) / self.totals[c])
         return out
 
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
 class Network:
     def __init__(self, size: int, width: int = 8, hidden: int = 24, seed: int = 7):
         r = np.random.default_rng(seed)
-        self.size, self.width, self.hidden = size, width, hidden
-        shapes = [(size, width), (2 * SIDE * width, hidden), (hidden,), (hidden, size), (size,)]
-        self.p = [(r.standard_normal(s) * (0.3 if len(s) > 1 else 0)).astype(np.float32) for s in shapes]
+        self.size, self.width, self.hidden, self.groups = size, width, hidden, -(-size // GROUP)
+        shapes = [(size, width), (2 * SIDE * width, hidden), (hidden,), (hidden, self.groups), (self.groups,), (self.groups, hidden, GROUP), (self.groups, GROUP)]
+        self.p = [(r.standard_normal(s) * (0.3 if i in (0, 1, 3, 5) else 0)).astype(np.float32) for i, s in enumerate(shapes)]
+        self.p[6].reshape(-1)[size:] = -30  # no such words
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.p])
@@ -106,65 +123,95 @@ class Network:
         return self
 
     def forward(self, ids: np.ndarray, at: np.ndarray):
-        e, w, b, u, c = self.p
+        """(numbers around, inputs, hidden layer, probabilities of the groups) of positions."""
+        e, w, b, u, c = self.p[:5]
         around = ids[at[:, None] + np.array([-2, -1, 1, 2])]
         x = e[around].reshape(len(at), -1)
         h = np.tanh(x @ w + b)
-        z = h @ u + c
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        total = z.sum(axis=1)
-        return around, x, h, z, total
+        return around, x, h, _softmax(h @ u + c)
+
+    def by_group(self, h: np.ndarray, own: np.ndarray):
+        """(group, rows whose number is of it, their numbers in it, probabilities of its words) for each group of the numbers own."""
+        group = (own // GROUP).astype(np.uint16)
+        order = np.argsort(group, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            g = int(group[rows[0]])
+            yield g, rows, own[rows] % GROUP, _softmax(h[rows] @ self.p[5][g] + self.p[6][g])
 
     def log_probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         out = np.empty(len(at), np.float64)
-        for lo in range(0, len(at), BATCH):
-            some = at[lo : lo + BATCH]
-            _, _, _, z, total = self.forward(ids, some)
-            out[lo : lo + BATCH] = np.log(np.maximum(z[np.arange(len(some)), ids[some]] / total, 1e-30))
+        for lo in range(0, len(at), 4 * BATCH):
+            some = at[lo : lo + 4 * BATCH]
+            own = ids[some]
+            _, _, h, z = self.forward(ids, some)
+            p = z[np.arange(len(some)), own // GROUP].astype(np.float64)
+            for _, rows, n, q in self.by_group(h, own):
+                p[rows] *= q[np.arange(len(rows)), n]
+            out[lo : lo + 4 * BATCH] = np.log(np.maximum(p, 1e-30))
         return out
 
     def train(self, ids: np.ndarray, at: np.ndarray, state: dict, rate: float = 0.01) -> None:
         """A step of Adam for each BATCH words."""
         for lo in range(0, len(at), BATCH):
             some = at[lo : lo + BATCH]
-            n = len(some)
-            around, x, h, z, total = self.forward(ids, some)
-            z /= total[:, None]
-            z[np.arange(n), ids[some]] -= 1
+            n, own = len(some), ids[some]
+            around, x, h, z = self.forward(ids, some)
+            z[np.arange(n), own // GROUP] -= 1
             z /= n
-            e, w, _, u, _ = self.p
-            dh = (z @ u.T) * (1 - h * h)
-            dx = (dh @ w.T).reshape(-1, self.width)
+            dh = z @ self.p[3].T
+            du, dc = np.zeros_like(self.p[5]), np.zeros_like(self.p[6])
+            for g, rows, k, q in self.by_group(h, own):
+                q[np.arange(len(rows)), k] -= 1
+                q /= n
+                du[g], dc[g] = h[rows].T @ q, q.sum(axis=0)
+                dh[rows] += q @ self.p[5][g].T
+            dh *= 1 - h * h
+            dx = (dh @ self.p[1].T).reshape(-1, self.width)
             de = np.stack([np.bincount(around.ravel(), dx[:, k], self.size) for k in range(self.width)], axis=1).astype(np.float32)
             state["t"] = t = state.get("t", 0) + 1
-            for i, g in enumerate((de, x.T @ dh, dh.sum(axis=0), h.T @ z, z.sum(axis=0))):
-                m = state["m", i] = 0.9 * state.get(("m", i), 0) + 0.1 * g
-                v = state["v", i] = 0.99 * state.get(("v", i), 0) + 0.01 * g * g
-                self.p[i] -= (rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
+            for i, g in enumerate((de, x.T @ dh, dh.sum(axis=0), h.T @ z, z.sum(axis=0), du, dc)):
+                if ("m", i) not in state:
+                    state["m", i], state["v", i] = np.zeros_like(g), np.zeros_like(g)
+                m, v = state["m", i], state["v", i]
+                m *= 0.9
+                m += 0.1 * g
+                v *= 0.99
+                v += 0.01 * g * g
+                self.p[i] -= (rate / (1 - 0.9**t)) * m / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+
+
+def _summed(t: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, np.float32).astype(np.float64) * n for x, n in zip(t["w"].to_pylist(), t["n"].to_pylist(), strict=True))
+    return pa.table([pa.array([total.tobytes()], pa.binary()), pa.array([sum(t["n"].to_pylist())], pa.int64())], ["w", "n"])
 
 
-def train(docs: DataFrame, vocabulary: int = 112, rounds: int = 2) -> tuple[Numbers, Network]:
-    """The network trained on every document of docs(doc_id, text) once, a share of them a round."""
+def train(docs: DataFrame, vocabulary: int = 4080, rounds: int = 2) -> tuple[Numbers, Network]:
+    """The network trained on every document of docs(doc_id, text) once, a share of them a round.
+
+    Bounds: `vocabulary` words, CELLS counts for each of TAILS classes, TRAINERS partitions. Null and empty texts train nothing;
+    without any words the network is as it was drawn.
+    """
     counts = docs.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = written(counts)
-    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    part = (F.crc32(F.expr("substring(word, -2, 2)")) % CLASSES + 1).cast("int")
-    totals = np.zeros(1 + CLASSES)
-    for c, n in counts.groupBy(part.alias("class")).agg(F.sum("n")).collect():
-        totals[c] = n
-    for word, n in top:
-        totals[1 + crc32(bytes(word)[-2:]) % CLASSES] -= n
-    twice = counts.where("n > 1").select(F.xxhash64("word").alias("h"), "n").toArrow()  # 16 bytes a word
-    order = np.argsort(twice["h"].to_numpy())
-    words = Numbers([bytes(r[0]) for r in top], twice["h"].to_numpy()[order], twice["n"].to_numpy()[order], totals)
-    numbers = docs.sparkSession.sparkContext.broadcast(words)
-    network = Network(1 + CLASSES + vocabulary)
+    top = [(bytes(w), n) for w, n in counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()]
+    known = docs.sparkSession.createDataFrame([(w,) for w, _ in top], "word binary")
+    tail = counts.join(F.broadcast(known), "word", "left_anti")  # at most `vocabulary` rows
+    part = (F.crc32(F.expr("substring(word, -2, 2)")) % TAILS + 1).cast("int").alias("class")
+    # the cell is of the unsigned hash, as in within()
+    cells = tail.select(part, F.xxhash64("word").bitwiseAND(F.lit(CELLS - 1)).cast("int").alias("cell"), "n")
+    cells = cells.groupBy("class", "cell").agg(F.sum("n").alias("n"), F.count("*").alias("words")).toArrow()  # TAILS * CELLS rows at most
+    own, different = np.zeros((1 + TAILS, CELLS)), np.zeros((1 + TAILS, CELLS), np.int32)
+    at = cells["class"].to_numpy(), cells["cell"].to_numpy()
+    own[at], different[at] = cells["n"].to_numpy(), cells["words"].to_numpy()
+    words = Numbers([w for w, _ in top], own, different)
+    context = docs.sparkSession.sparkContext
+    numbers, size = context.broadcast(words), 1 + TAILS + len(top)
+    network = Network(size)
     for r in range(rounds):
-        weights = network.flat()
+        weights = context.broadcast(network.flat())
 
         def run(batches, weights=weights):
-            own, state, seen = Network(1 + CLASSES + vocabulary).load(weights), {}, 0
+            own, state, seen = Network(size).load(weights.value), {}, 0
             for batch in batches:
                 texts = batch.column(0).to_pylist()
                 for lo, hi in slices((len(t or "") for t in texts), 1000, 2 << 20) if texts else ():
@@ -172,14 +219,13 @@ def train(docs: DataFrame, vocabulary: int = 112, rounds: int = 2) -> tuple[Numb
                     own.train(ids, at, state)
                     seen += len(at)
             if seen:
-                flat = own.flat().astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * seen), pa.array(np.full(len(flat), seen))], ["i", "w", "n"])
-
-        share = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r).select("text")  # each document in one round
-        trained = share.mapInArrow(run, "i int, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w"))
-        found = trained.toPandas()  # a row a weight
-        if len(found):
-            network.load(found.sort_values("i")["w"].to_numpy())
+                k = TaskContext.get().partitionId() % SUMS
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.flat().tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["k", "w", "n"])
+
+        share = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r).select("text").coalesce(TRAINERS)  # each document in one round
+        found = share.mapInArrow(run, "k int, w binary, n long").groupBy("k").applyInArrow(_summed, "w binary, n long").collect()
+        if found:
+            network.load(sum(np.frombuffer(x["w"]) for x in found) / sum(x["n"] for x in found))
     return words, network
 
 
@@ -187,7 +233,7 @@ def score(docs: DataFrame, numbers: Numbers, network: Network) -> DataFrame:
     """(doc_id, n_words, log_likelihood, mean) of every row of docs(doc_id, text).
 
     log_likelihood: the sum over the words of the log probability of each given the others; 0 and a null mean for texts that
-    are null, empty or blank. A null doc_id is kept, repeated rows are scored each, an empty table gives an empty result,
+    are null, empty or blank. Very long texts are scored whole. A null doc_id is kept, repeated rows are scored each, an empty table gives an empty result,
     other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(numbers)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -369,16 +370,60 @@ def test_words_of_a_class_have_their_own_probabilities(spark):
 
 
 def test_network_gradient():
-    """Training lowers the loss, and probabilities sum to one."""
-    net, state = Network(12), {}
-    ids = np.concatenate([[0, 0], np.tile(np.arange(1, 12), 60), [0, 0]]).astype(np.int32)
+    """Gradients are those of the loss, training lowers it, and the probabilities of all words sum to one."""
+    net, state = Network(150), {}
+    ids = np.concatenate([[0, 0], np.tile(np.arange(1, 150), 8), [0, 0]]).astype(np.int32)
     at = np.flatnonzero(ids)
+    every = []
+    for w in range(150):  # each word in one place
+        own = ids.copy()
+        own[70] = w
+        every.append(net.log_probabilities(own, np.array([70]))[0])
+    assert abs(np.exp(every).sum() - 1) < 1e-5
+    net.p = [x.astype(np.float64) for x in net.p]
+    loss = lambda: -net.log_probabilities(ids, at[:200]).mean()
+    kept, before = [x.copy() for x in net.p], loss()
+    seen = {}
+    net.train(ids, at[:200], seen)
+    for i in range(7):
+        flat = np.abs(seen["m", i]).argmax()
+        net.p = [x.copy() for x in kept]
+        net.p[i].reshape(-1)[flat] += 1e-5
+        slope = (loss() - before) / 1e-5
+        assert abs(slope - 10 * seen["m", i].reshape(-1)[flat]) < 1e-3 * abs(slope) + 1e-6, i
+    net.p = [x.astype(np.float32) for x in kept]
     before = net.log_probabilities(ids, at).mean()
     for _ in range(60):
         net.train(ids, at, state)
     assert net.log_probabilities(ids, at).mean() > before + 1
-    _, _, _, z, total = net.forward(ids, at[:5])
-    assert np.allclose((z / total[:, None]).sum(axis=1), 1, atol=1e-5)
+
+
+def test_scores_are_sums_of_log_probabilities(spark):
+    """Every word's probability by a plain formula from the network's weights and the corpus's counts."""
+    r = random.Random(19)
+    vocab = [f"{a}{b}{c}" for a in "bcd" for b in "aeiou" for c in "klmnst"]
+    rows = [(i, " ".join(r.choices(vocab, range(len(vocab), 0, -1), k=60))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    numbers, net = train(df, vocabulary=70, rounds=1)
+    counts = {}
+    for _, t in rows:
+        for w in t.split():
+            counts[w] = counts.get(w, 0) + 1
+    known = {w.decode(): i + 16 for i, w in enumerate(numbers.words)}
+    assert sorted(known, key=lambda w: known[w]) == sorted(counts, key=lambda w: (-counts[w], w))[:70]
+    number = lambda w: known.get(w) or 1 + zlib.crc32(w[-2:].encode()) % 15
+    e, w, b, u, c, v, d = net.p
+    for got in score(df, numbers, net).collect()[:5]:
+        text = ["", "", *rows[got.doc_id][1].split(), "", ""]
+        total = 0.0
+        for i in range(2, len(text) - 2):
+            x = np.concatenate([e[number(y) if y else 0] for y in (text[i - 2], text[i - 1], text[i + 1], text[i + 2])])
+            h, n = np.tanh(x @ w + b), number(text[i])
+            first, second = np.exp(h @ u + c), np.exp(h @ v[n // 64] + d[n // 64])
+            total += math.log(first[n // 64] / first.sum() * second[n % 64] / second.sum())
+            if n < 16:
+                total += math.log(counts[text[i]] / sum(k for x, k in counts.items() if x not in known and number(x) == n))
+        assert abs(total - got.log_likelihood) < 1e-2
 
 
 def test_pipeline(spark):
