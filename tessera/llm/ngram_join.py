@@ -13,7 +13,7 @@ the first n - ceil(t*n) + 1 n-grams of either document.
    chained by connected components to blocks, which no link leaves.
 5. In a block, the sets, ordered by block frequency, form a trie; each set walks it with the overlap so far and leaves
    a subtree as soon as the remaining lengths cannot reach the needed overlap.
-6. A block too large for one task is dealt at random to tasks in a few rounds. Between rounds, n-grams whose documents are
+6. A block many times too large for one task is dealt at random to tasks in a few rounds. Between rounds, n-grams whose documents are
    all of one component drop out, which leaves little of a large group of near copies. What is then left of large blocks is
    joined in full: by prefix n-gram, or by pairs of chunks of the block, whichever moves less.
 """
@@ -261,7 +261,7 @@ def _in_full(docs: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
     return cut.select(*(x.split()[0] for x in JOINED.split(", "))).groupBy("block", "i", "j").applyInArrow(_join_blocks(threshold), "a long, b long")
 
 
-def _roots(able: DataFrame, threshold: float, block_elements: int, block_docs: int, rounds: int) -> DataFrame:
+def _roots(able: DataFrame, threshold: float, block_elements: int, block_docs: int, rounds: int, few_cuts: int) -> DataFrame:
     """(node, root) of the components of able(doc_id, n, prefix, shared), for those with a link at least."""
     spark = able.sparkSession
     found: list[DataFrame] = []
@@ -282,10 +282,11 @@ def _roots(able: DataFrame, threshold: float, block_elements: int, block_docs: i
         small = docs.join(sizes.where("cuts = 1").select("block"), "block").withColumns({"bin": F.pmod(F.hash("block"), F.lit(bins)), **zero})
         found.append(written(small.groupBy("bin").applyInArrow(_join_blocks(threshold), "a long, b long")))
         large = sizes.where("cuts > 1")
-        if large.isEmpty():
+        most = large.agg(F.max("cuts")).first()[0]
+        if most is None:
             break
         docs = written(docs.join(large.select("block", "cuts"), "block"))
-        if r < rounds:
+        if r < rounds and most > few_cuts:
             dealt = docs.withColumns({**zero, "part": F.pmod(F.xxhash64("doc_id", F.lit(r)), "cuts")})
             found.append(written(dealt.groupBy("block", "part").applyInArrow(_join_blocks(threshold), "a long, b long")))
             own = connected_components(reduce(DataFrame.union, found)).select(F.col("node").alias("doc_id"), F.col("root").alias("label"))
@@ -299,18 +300,20 @@ def _roots(able: DataFrame, threshold: float, block_elements: int, block_docs: i
         of_gram = grams.select("block", weight).groupBy("block").agg(F.sum("m").alias("m"), F.count("*").alias("docs")).select("block", cuts())
         found.append(written(_in_full(grams, of_gram, threshold)))
         found.append(written(_in_full(docs.drop("cuts"), choice.where("not by_gram"), threshold)))
+        break
     if len(found) == 1:  # no block was cut
         return found[0].groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     return connected_components(reduce(DataFrame.union, found))
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, threshold: float = 0.8, block_elements: int = 2_000_000, block_docs: int = 500, rounds: int = 3) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, threshold: float = 0.8, block_elements: int = 2_000_000, block_docs: int = 500, rounds: int = 4, few_cuts: int = 8) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs(doc_id long, text string); component_id: smallest doc_id reachable by links.
 
     Words are lower-cased in A-Z. Null, empty and blank texts have an empty set, no links, and their own doc_id. Rows
     with a null doc_id are left out; repeated rows of a doc_id are returned each, with the component of their own text. An
     empty table gives an empty result. Other columns are ignored. block_elements and block_docs bound what one task
-    joins; larger blocks are dealt in `rounds` rounds and then joined in full, nothing is left out.
+    joins; blocks larger by more than few_cuts times are dealt in at most `rounds` rounds, and what is then larger than a task
+    is joined in full, nothing is left out.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     dealt = shared_features(docs, lambda codes: shingles(codes, k), True)
@@ -318,6 +321,6 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: float = 0.8, bloc
     classes = written(sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep")))
     able = sets.where("prefix is not null").join(classes.select(F.col("rep").alias("doc_id"), "fp"), ["doc_id", "fp"], "left_semi")
     able = written(able.dropDuplicates(["doc_id", "fp"]).select("doc_id", "n", "prefix", "shared"))
-    roots = written(_roots(able, threshold, block_elements, block_docs, rounds).withColumnRenamed("node", "rep"))
+    roots = written(_roots(able, threshold, block_elements, block_docs, rounds, few_cuts).withColumnRenamed("node", "rep"))
     out = sets.select("doc_id", "n", "fp").join(classes, "fp", "left").join(roots, "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "rep")).otherwise(F.col("doc_id")).alias("component_id"))

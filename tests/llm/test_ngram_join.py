@@ -43,7 +43,7 @@ def test_odd_documents(odd):
     assert jaccard_components(odd.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("bounds", [{}, {"block_elements": 300, "block_docs": 6}, {"block_elements": 300, "block_docs": 6, "rounds": 0}, {"block_docs": 4, "rounds": 1}])
+@pytest.mark.parametrize("bounds", [{}, {"block_elements": 300, "block_docs": 6}, {"block_elements": 300, "block_docs": 6, "few_cuts": 1}])
 def test_random_near_copies(spark, bounds):
     r = random.Random(5)
     bases = [[f"w{r.randrange(400)}" for _ in range(r.randrange(5, 90))] for _ in range(12)]
