@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 from tessera.plans.parser import RDF, STRING, XSD, resolve
 
@@ -144,30 +146,78 @@ def java_pattern(p: str, flags: str) -> Column | None:
     return F.lit((f"(?{on})" if on else "") + p)
 
 
+def _compiled(pattern: str | None, flags: str | None, cache: dict) -> re.Pattern | None:
+    """A pattern from data, or None where it is an error."""
+    if pattern is None or flags is None:
+        return None
+    if (pattern, flags) not in cache:
+        if len(cache) > 10_000:
+            cache.clear()
+        own = re.escape(pattern) if "q" in flags else pattern
+        ok = not set(flags) - set("ismxq") and ("q" in flags or not UNSUPPORTED.search(pattern))
+        try:
+            on = sum(getattr(re, f.upper()) for f in set(flags) - {"q"}) if ok else 0
+            cache[pattern, flags] = re.compile(re.sub(r"\(\?<([A-Za-z])", r"(?P<\1", own), on) if ok else None
+        except re.error:
+            cache[pattern, flags] = None
+    return cache[pattern, flags]
+
+
+@F.pandas_udf(BooleanType())
+def _matches_data(text: pd.Series, pattern: pd.Series, flags: pd.Series) -> pd.Series:
+    cache: dict = {}
+    found = ((_compiled(p, f, cache), x) for x, p, f in zip(text, pattern, flags, strict=True))
+    return pd.Series([None if r is None or x is None else bool(r.search(x)) for r, x in found], dtype="object")
+
+
+def _template(text: str, groups: int) -> list:
+    """The texts and group numbers of a replacement: $n, ${n}, $$; a group that the pattern lacks is empty."""
+    out, at = [], 0
+    for m in re.finditer(r"\$(?:(\$)|\{(\w+)\}|(\w+))", text):
+        out.append(text[at : m.start()])
+        name = m[2] or m[3]
+        out.append("$" if m[1] else int(name) if name.isdigit() and int(name) <= groups else "" if name.isdigit() else ("", name))
+        at = m.end()
+    return [*out, text[at:]]
+
+
+@F.pandas_udf(StringType())
+def _replaced_data(text: pd.Series, pattern: pd.Series, replacement: pd.Series, flags: pd.Series) -> pd.Series:
+    cache: dict = {}
+
+    def one(x, p, to, f):
+        r = _compiled(p, f, cache)
+        if r is None or x is None or to is None:
+            return None
+        parts = _template(to, r.groups)
+        own = lambda m: "".join((m[y] or "") if isinstance(y, int) else y if isinstance(y, str) else (m[y[1]] or "") if y[1] in r.groupindex else "" for y in parts)
+        return r.sub(own, x)
+
+    return pd.Series([one(*row) for row in zip(text, pattern, replacement, flags, strict=True)], dtype="object")
+
+
+def _any_string(v: Val) -> Column:
+    return string_arg(v)[0]
+
+
 def regex(ast: list, args: list[Val]) -> Val:
-    flags = ""
-    if len(ast) == 3:
-        if ast[2][0] != "lit":
-            return NULL
-        flags = ast[2][1]
-    p = java_pattern(ast[1][1], flags) if ast[1][0] == "lit" else F.concat(F.lit(f"(?{flags})" if flags else ""), _simple(args[1]))
-    s, _, _ = string_arg(args[0])
-    return NULL if p is None else Val("bool", F.regexp_like(s, p))
+    """A constant pattern becomes one of the JVM's; patterns and flags from data are compiled once each, in Arrow batches."""
+    s = _any_string(args[0])
+    flags = ast[2] if len(ast) == 3 else ("lit", "")
+    if ast[1][0] == "lit" and flags[0] == "lit":
+        p = java_pattern(ast[1][1], flags[1])
+        return NULL if p is None else Val("bool", F.regexp_like(s, p))
+    return Val("bool", _matches_data(s, _any_string(args[1]), _any_string(args[2]) if len(args) == 3 else F.lit("")))
 
 
 def replace_(ast: list, args: list[Val]) -> Val:
-    flags = ""
-    if len(ast) == 4:
-        if ast[3][0] != "lit":
-            return NULL
-        flags = ast[3][1]
-    p = java_pattern(ast[1][1], flags) if ast[1][0] == "lit" else F.concat(F.lit(f"(?{flags})" if flags else ""), _simple(args[1]))
-    if p is None:
-        return NULL
-    rep = F.replace(_simple(args[2]), F.lit("\\"), F.lit("\\\\"))
-    if ast[2][0] == "lit":
+    flags = ast[3] if len(ast) == 4 else ("lit", "")
+    if all(x[0] == "lit" for x in (ast[1], ast[2], flags)):
+        p = java_pattern(ast[1][1], flags[1])
         rep = F.lit(re.sub(r"\$\{(\d+)\}", r"$\1", ast[2][1].replace("\\", "\\\\")))
-    return _string(args[0], lambda s: F.regexp_replace(s, p, rep))
+        return NULL if p is None else _string(args[0], lambda s: F.regexp_replace(s, p, rep))
+    given = _any_string(args[3]) if len(args) == 4 else F.lit("")
+    return _string(args[0], lambda s: _replaced_data(s, _any_string(args[1]), _any_string(args[2]), given))
 
 
 def rounded(name: str, v: Val) -> Val:

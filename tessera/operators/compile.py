@@ -405,19 +405,19 @@ def compile_select(q, env: Env) -> Selected:
             rel = x.rel.where(F.coalesce(ebv(x(h)), F.lit(False))).keep(shown)
     elif q["having"]:
         raise SparqlError("HAVING without a group")
+    if q.get("values"):
+        # joined after grouping; the select expressions see its variables
+        rel = join(rel, with_graphs(table_rel(*q["values"], env), env))
     items = q.get("items")
     if items is None:
-        items = [(v, None) for v in ordered_vars(q["where"]) if v in visible_vars(q["where"])]
+        own = [(v, None) for v in ordered_vars(q["where"]) if v in visible_vars(q["where"])]
+        items = own + [(v, None) for v in (q["values"][0] if q.get("values") else []) if (v, None) not in own]
     for v, e in items:
         if e is not None:
             x = Expressions(rel, env, names)
             x.prepare(e)
             rel = x.rel.extend(v, x(e))
     wanted = [v for v, _ in items]
-    if q.get("values"):
-        # joined after grouping and projection, before the solution modifiers end
-        rel = join(rel, with_graphs(table_rel(*q["values"], env), env))
-        wanted += [v for v in q["values"][0] if v not in wanted and q.get("items") is None]
     out = wanted + [h for h in env.hidden if h in rel.reps]
     orders = []
     for e, desc in q["order"]:

@@ -127,14 +127,10 @@ def union(a: Rel, b: Rel) -> Rel:
 
 def join(a: Rel, b: Rel, splits: int = 4) -> Rel:
     """Compatible mappings. Where a shared variable may be unbound, a side is parted by it, so that the joins stay equi-joins."""
-    shared = [v for v in a.reps if v in b.reps]
-    open_ = [v for v in shared if v not in a.certain or v not in b.certain]
+    shared, open_ = _both(a, b)
     if open_ and splits:
         v = open_[0]
-        side = a if v not in a.certain else b
-        bound = Rel(side.df.where(column(v).isNotNull()), side.reps, side.certain | {v})
-        free = Rel(side.df.where(column(v).isNull()), side.reps, side.certain).keep([x for x in side.reps if x != v])
-        both = [join(x, b, splits - 1) if side is a else join(a, x, splits - 1) for x in (bound, free)]
+        both = [join(x, b, splits - 1) for x in parted(a, v)] if v not in a.certain else [join(a, x, splits - 1) for x in parted(b, v)]
         return union(*both)
     a, b = unified(a, b, shared)
     cond = every(compatible(a, b, shared))
@@ -142,38 +138,89 @@ def join(a: Rel, b: Rel, splits: int = 4) -> Rel:
     return _merged(a.df.join(right, cond, "inner") if cond is not None else a.df.crossJoin(right), a, b, shared, False)
 
 
-def left_join(a: Rel, b: Rel, expr=None) -> Rel:
-    """OPTIONAL; expr: from the merged mapping, a boolean column of its filter."""
+def parted(r: Rel, v: str) -> tuple[Rel, Rel]:
+    """The rows of r in which a variable is bound, and, without the variable, those in which it isn't."""
+    bound = Rel(r.df.where(column(v).isNotNull()), r.reps, r.certain | {v})
+    return bound, Rel(r.df.where(column(v).isNull()), r.reps, r.certain).keep([x for x in r.reps if x != v])
+
+
+def _both(a: Rel, b: Rel) -> tuple[list[str], list[str]]:
+    """(the shared variables, those that may be unbound on a side)."""
     shared = [v for v in a.reps if v in b.reps]
+    return shared, [v for v in shared if v not in a.certain or v not in b.certain]
+
+
+def left_join(a: Rel, b: Rel, expr=None, splits: int = 4) -> Rel:
+    """OPTIONAL; expr: from the merged mapping, a boolean column of its filter. Sides are parted as join() does."""
+    shared, open_ = _both(a, b)
+    if open_ and splits:
+        v, certain = open_[0], a.certain
+        if v not in a.certain:
+            out = union(*(left_join(x, b, expr, splits - 1) for x in parted(a, v)))
+        else:
+            out, rest = None, a
+            for x in parted(b, v):
+                hit = join(a, x)
+                hit = hit if expr is None else hit.where(F.coalesce(expr(hit), F.lit(False)))
+                out, rest = hit if out is None else union(out, hit), semi(rest, x, True, splits - 1, expr)
+            out = union(out, rest)
+        return Rel(out.df, out.reps, certain)
     a, b = unified(a, b, shared)
     conds = compatible(a, b, shared)
     if expr is not None:
-        # the filter sees the merged mapping: a shared variable's value is that of either side
+        # the filter sees the merged mapping
         both = Rel(a.df, {**b.reps, **a.reps}, a.certain | b.certain)
         conds.append(F.coalesce(expr(both), F.lit(False)))
     cond = every(conds)
     return _merged(a.df.join(_right(b, shared), F.lit(True) if cond is None else cond, "left"), a, b, shared, True)
 
 
-def minus(a: Rel, b: Rel) -> Rel:
+def _again(parts: list[Rel], a: Rel) -> Rel:
+    """Parts of a's rows as one, with a's variables; a variable that a part lacks is unbound there."""
+    return Rel(reduce(DataFrame.unionByName, (a.df.limit(0).unionByName(p.df, allowMissingColumns=True) if len(p.reps) < len(a.reps) else p.df for p in parts)), a.reps, a.certain)
+
+
+def minus(a: Rel, b: Rel, splits: int = 6) -> Rel:
+    """Rows of a without a compatible row in b that binds a variable which the row binds too."""
     shared = [v for v in a.reps if v in b.reps]
     if not shared:
         return a
-    x, b = unified(a, b, shared)
-    cond = every(compatible(x, b, shared))
-    if not any(v in x.certain and v in b.certain for v in shared):
-        cond = cond & reduce(lambda p, q: p | q, [_pair(v)[0].isNotNull() & _pair(v)[1].isNotNull() for v in shared])
-    out = x.df.join(_right(b.keep(shared), shared), cond, "left_anti")
-    return Rel(out, x.reps, x.certain)
+    a, b = unified(a, b, shared)
+    b = b.keep(shared)
+    if any(v in a.certain and v in b.certain for v in shared):
+        return semi(a, b, True)
+    v = shared[0]
+    if splits and v not in a.certain:
+        return _again([minus(x, b, splits - 1) for x in parted(a, v)], a)
+    if splits:
+        for x in parted(b, v):
+            a = minus(a, x, splits - 1)
+        return a
+    cond = every(compatible(a, b, shared)) & reduce(lambda p, q: p | q, [_pair(v)[0].isNotNull() & _pair(v)[1].isNotNull() for v in shared])
+    return Rel(a.df.join(_right(b, shared), cond, "left_anti"), a.reps, a.certain)
 
 
-def semi(a: Rel, b: Rel, negative: bool) -> Rel:
-    """Rows of a that have, or don't have, a compatible row in b."""
-    shared = [v for v in a.reps if v in b.reps]
-    x, b = unified(a, b, shared)
-    cond = every(compatible(x, b, shared))
-    out = x.df.join(_right(b.keep(shared), shared).distinct(), F.lit(True) if cond is None else cond, "left_anti" if negative else "left_semi")
-    return Rel(out, x.reps, x.certain)
+def semi(a: Rel, b: Rel, negative: bool, splits: int = 4, expr=None) -> Rel:
+    """Rows of a that have, or don't have, a compatible row in b, with which expr holds; sides are parted as join() does."""
+    shared, open_ = _both(a, b)
+    a, b = unified(a, b, shared)
+    if expr is None:
+        b = b.keep(shared)
+    if open_ and splits:
+        v = open_[0]
+        if v not in a.certain:
+            return _again([semi(x, b, negative, splits - 1, expr) for x in parted(a, v)], a)
+        bound, free = parted(b, v)
+        rest = semi(a, bound, True, splits - 1, expr)
+        if negative:
+            return semi(rest, free, True, splits - 1, expr)
+        return _again([semi(a, bound, False, splits - 1, expr), semi(rest, free, False, splits - 1, expr)], a)
+    conds = compatible(a, b, shared)
+    if expr is not None:
+        conds.append(F.coalesce(expr(Rel(a.df, {**b.reps, **a.reps}, a.certain | b.certain)), F.lit(False)))
+    right = _right(b, shared) if expr is not None else _right(b, shared).distinct() if shared else b.df.limit(1)  # one row says that there is one
+    out = a.df.join(right, every(conds) if conds else F.lit(True), "left_anti" if negative else "left_semi")
+    return Rel(out, a.reps, a.certain)
 
 
 def flagged(a: Rel, b: Rel, flag: str) -> Rel:

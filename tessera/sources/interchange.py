@@ -5,9 +5,12 @@ from __future__ import annotations
 import json
 import re
 import xml.etree.ElementTree as ET
+from xml.sax.saxutils import escape, quoteattr
+
+import pyarrow as pa
 
 from tessera.functions.values import key_py
-from tessera.plans.parser import RDF, STRING, XSD, lit, resolve
+from tessera.plans.parser import RDF, STRING, XSD, Parser, lit, resolve
 
 XML = "{http://www.w3.org/XML/1998/namespace}"
 R = f"{{{RDF}}}"
@@ -231,3 +234,90 @@ def parse_jsonld(text: str, base: str | None = None, scope: str = "d") -> list[t
     for x in data if isinstance(data, list) else [data]:
         r.node(x, {"@base": base}, None)
     return r.out
+
+
+# -- writers: quads of a partition, in the order in which they come, as one document ------------------------------------
+
+
+def _term(text: str) -> tuple:
+    if text.startswith("<") and not text.startswith("<<"):
+        return ("iri", text[1:-1])
+    if text.startswith("_:"):
+        return ("bnode", text[2:])
+    return Parser(text).term(None)
+
+
+def _runs(batches):
+    """(graph, subject, [(predicate, object)]) of each run of quads that share graph and subject."""
+    last, own = None, []
+    for batch in batches:
+        for s, p, o, g in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (g, s) != last:
+                if own:
+                    yield (*last, own)
+                last, own = (g, s), []
+            own.append((_term(p)[1], _term(o)))
+    if own:
+        yield (*last, own)
+
+
+def _documents(head: str, rows, tail: str, between: str = ""):
+    """Batches of lines; none without rows."""
+    lines, some = [], False
+    for row in rows:
+        lines.append(between + row if some else head + "\n" + row)
+        some = True
+        if len(lines) >= 1000:
+            yield pa.RecordBatch.from_arrays([pa.array(lines)], ["value"])
+            lines = []
+    if some:
+        yield pa.RecordBatch.from_arrays([pa.array([*lines, tail])], ["value"])
+
+
+def _json_object(o: tuple) -> dict:
+    if o[0] in ("iri", "bnode"):
+        return {"@id": ("_:" if o[0] == "bnode" else "") + o[1]}
+    if o[0] == "triple":
+        raise ValueError("JSON-LD has no triple terms")
+    _, lex, dt, lang, way = o
+    return {"@value": lex} | ({"@language": lang} if lang else {"@type": dt} if dt != STRING else {}) | ({"@direction": way} if way else {})
+
+
+def write_jsonld(batches):
+    """An array of expanded nodes, those of named graphs inside them."""
+
+    def rows():
+        for g, s, own in _runs(batches):
+            node: dict = {"@id": _json_object(_term(s))["@id"]}
+            for p, o in own:
+                if p == RDF + "type" and o[0] != "lit":
+                    node.setdefault("@type", []).append(_json_object(o)["@id"])
+                else:
+                    node.setdefault(p, []).append(_json_object(o))
+            yield json.dumps(node if g is None else {"@id": _json_object(_term(g))["@id"], "@graph": [node]}, ensure_ascii=False)
+
+    return _documents("[", rows(), "]", ", ")
+
+
+def write_rdfxml(batches):
+    """rdf:Description elements; ValueError for named graphs, triple terms, directions and predicates that XML cannot name."""
+
+    def rows():
+        for g, s, own in _runs(batches):
+            if g is not None:
+                raise ValueError("a named graph in RDF/XML")
+            t = _term(s)
+            out = [f"<rdf:Description {'rdf:nodeID' if t[0] == 'bnode' else 'rdf:about'}={quoteattr(t[1])}>"]
+            for p, o in own:
+                m = re.search(r"[A-Za-z_][A-Za-z0-9_.-]*$", p)
+                if not m or m.start() == 0 or o[0] == "triple" or o[0] == "lit" and o[4]:
+                    raise ValueError(f"RDF/XML cannot hold <{p}> of {s}")
+                tag = f"<n:{m[0]} xmlns:n={quoteattr(p[: m.start()])}"
+                if o[0] != "lit":
+                    out.append(f"{tag} {'rdf:nodeID' if o[0] == 'bnode' else 'rdf:resource'}={quoteattr(o[1])}/>")
+                else:
+                    kind = f" xml:lang={quoteattr(o[3])}" if o[3] else f" rdf:datatype={quoteattr(o[2])}" if o[2] != STRING else ""
+                    out.append(f"{tag}{kind}>{escape(o[1], {chr(13): '&#13;'})}</n:{m[0]}>")
+            yield "".join([*out, "</rdf:Description>"])
+
+    return _documents(f'<?xml version="1.0" encoding="UTF-8"?>\n<rdf:RDF xmlns:rdf="{RDF}">', rows(), "</rdf:RDF>")

@@ -6,6 +6,8 @@ labels are scoped to their file.
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,19 +15,23 @@ from pyspark.sql import functions as F
 from tessera.functions.values import key_py
 from tessera.plans.parser import Parser, SparqlError
 
-from .interchange import parse_jsonld, parse_rdfxml
+from .interchange import parse_jsonld, parse_rdfxml, write_jsonld, write_rdfxml
 from .turtle import parse_trig, parse_turtle
 
+TYPE = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
 QUAD = "s string, p string, o string, g string"
 #: The syntax of an extension or media type.
 FORMATS = {
     "nt": "nt", "nq": "nq", "ttl": "ttl", "trig": "trig", "rdf": "rdfxml", "owl": "rdfxml", "xml": "rdfxml", "jsonld": "jsonld", "json": "jsonld",
     "application/n-triples": "nt", "application/n-quads": "nq", "text/turtle": "ttl", "application/trig": "trig", "application/rdf+xml": "rdfxml", "application/ld+json": "jsonld",
 }
+WRITERS = {"rdfxml": write_rdfxml, "jsonld": write_jsonld}
 PARSERS = {"ttl": parse_turtle, "trig": parse_trig, "rdfxml": parse_rdfxml, "jsonld": parse_jsonld}
-_IRI, _BLANK = r"<[^<>\"{}|^`\\\x00-\x20]*>", r"_:[^\s<>\"]+"
-_TERM = rf'(?:{_IRI}|{_BLANK}|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^{_IRI})?)'
-LINE = rf"^\s*({_IRI}|{_BLANK})\s*({_IRI})\s*({_TERM})\s*(?:({_IRI}|{_BLANK})\s*)?\.\s*(?:#.*)?$"
+_IRI, _BLANK = r'<[^<>"{}|^`\\\x00-\x20]*+>', r"_:[A-Za-z0-9](?:[A-Za-z0-9_-]|\.(?=[A-Za-z0-9_.-]*+[A-Za-z0-9_-]))*+"
+_LITERAL = rf'"[^"\\]*+"(?:@[a-z]++(?:-[a-z0-9]++)*+(?![-A-Z])|\^\^(?!<http://www\.w3\.org/2001/XMLSchema#string>){_IRI})?+'
+#: Lines that hold keys as they are, one blank between terms: no escape, upper-case language, direction or triple term.
+PLAIN = rf"^(?:{_IRI}|{_BLANK}) {_IRI} (?:{_IRI}|{_BLANK}|{_LITERAL})%s \.$"
+GRAPH = rf" ({_IRI}|{_BLANK})$"
 
 
 def format_of(name: str) -> str:
@@ -66,20 +72,26 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_lines(spark: SparkSession, path: str, quads: bool = True) -> DataFrame:
-    """N-Quads or N-Triples. Simple lines are taken apart by one pattern in the JVM; lines with escapes, languages, triple
-    terms or errors go through the parser, which raises on a line that is no statement."""
+    """N-Quads or N-Triples. Lines in the form that writers give are checked by one pattern in the JVM and cut at their
+    blanks; others (escapes, white space, comments, triple terms, errors) go through the parser, which raises on a line that
+    is no statement."""
     scope = F.concat(F.lit("f"), F.substring(F.md5(F.input_file_name()), 1, 8))
     lines = spark.read.text(path).select("value", scope.alias("scope"))
-    part = [F.regexp_extract("value", LINE, i) for i in range(1, 5)]
-    simple = F.col("value").rlike(LINE) & ~F.col("value").contains("\\") & ~F.col("value").rlike(r'"@|<<|XMLSchema#string>')
-    if not quads:
-        simple = simple & (part[3] == "")
+    plain = F.col("value").rlike(PLAIN % (rf"(?: (?:{_IRI}|{_BLANK}))?" if quads else ""))
 
     def scoped(c: Column) -> Column:
         return F.when(c.startswith("_:"), F.concat(F.lit("_:"), F.col("scope"), F.lit("_"), F.substring(c, F.lit(3), F.length(c)))).otherwise(c)
 
-    easy = lines.where(simple).select(scoped(part[0]).alias("s"), part[1].alias("p"), scoped(part[2]).alias("o"), F.nullif(scoped(part[3]), F.lit("")).alias("g"))
-    hard = lines.where(~simple & ~F.col("value").rlike(r"^\s*(#.*)?$"))
+    first = lambda c: F.substring_index(c, " ", 1)
+    after = lambda c, x: F.substring(c, F.length(x) + 2, F.length(c))
+    easy = lines.where(plain).select("scope", first(F.col("value")).alias("s"), F.expr("substring(value, 1, length(value) - 2)").alias("v"))
+    easy = easy.select("scope", "s", after(F.col("v"), F.col("s")).alias("v")).select("scope", "s", first(F.col("v")).alias("p"), "v")
+    easy = easy.select("scope", "s", "p", after(F.col("v"), F.col("p")).alias("o"))
+    graph = F.when(F.col("o").contains(" "), F.nullif(F.regexp_extract("o", GRAPH, 1), F.lit(""))) if quads else F.lit(None).cast("string")
+    easy = easy.withColumn("g", graph)
+    own = F.when(F.col("g").isNull(), F.col("o")).otherwise(F.substring(F.col("o"), F.lit(1), F.length("o") - F.length("g") - 1))
+    easy = easy.select(scoped(F.col("s")).alias("s"), "p", scoped(own).alias("o"), scoped(F.col("g")).alias("g"))
+    hard = lines.where(~plain & ~F.col("value").rlike(r"^\s*(#.*)?$"))
 
     def run(batches):
         for batch in batches:
@@ -119,23 +131,49 @@ def lines(quads: DataFrame, graphs: bool = True) -> DataFrame:
     return quads.select(checked.alias("value"))
 
 
-def write(quads: DataFrame, path: str, syntax: str | None = None) -> None:
-    """Writes N-Quads, N-Triples, Turtle or TriG to a folder of text files."""
+def write(quads: DataFrame, path: str, syntax: str | None = None, prefixes: dict[str, str] | None = None) -> None:
+    """Writes a folder of files, each a document: N-Quads, N-Triples, Turtle, TriG (both with prefixes), RDF/XML, JSON-LD."""
     syntax = syntax or format_of(path)
     if syntax in ("nt", "nq"):
         lines(quads, syntax == "nq").write.text(path)
     elif syntax in ("ttl", "trig"):
-        grouped(quads, syntax == "trig").write.text(path)
+        head = [f"@prefix {k}: <{v}> ." for k, v in (prefixes or {}).items()]
+        framed(grouped(quads, syntax == "trig", prefixes or {}), head, []).write.text(path)
+    elif syntax in WRITERS:
+        quads.select("s", "p", "o", "g").mapInArrow(WRITERS[syntax], "value string").write.text(path)
     else:
         raise ValueError(f"no writer for {syntax}")
 
 
-def grouped(quads: DataFrame, graphs: bool) -> DataFrame:
+def framed(rows: DataFrame, head: list[str], tail: list[str]) -> DataFrame:
+    """rows(value) with lines before and after those of each partition that has any."""
+
+    def run(batches):
+        some = False
+        for batch in batches:
+            if batch.num_rows and not some and head:
+                yield pa.RecordBatch.from_arrays([pa.array(head)], ["value"])
+            some = some or batch.num_rows > 0
+            yield batch
+        if some and tail:
+            yield pa.RecordBatch.from_arrays([pa.array(tail)], ["value"])
+
+    return rows.mapInArrow(run, "value string") if head or tail else rows
+
+
+def shortened(c: Column, prefixes: dict[str, str]) -> Column:
+    """IRIs as prefixed names, where what follows the namespace is a plain name."""
+    for name, space in prefixes.items():
+        c = F.regexp_replace(c, F.lit(rf"^<{re.escape(space)}([A-Za-z_][A-Za-z0-9_-]*)>$"), F.lit(f"{name}:$1"))
+    return c
+
+
+def grouped(quads: DataFrame, graphs: bool, prefixes: dict[str, str] | None = None) -> DataFrame:
     """A row `value` for each subject and graph: its predicates and objects as one Turtle or TriG block."""
     if not graphs:
         quads = quads.withColumn("g", F.when(F.col("g").isNull(), F.col("g")).otherwise(F.raise_error(F.lit("a named graph in Turtle")).cast("string")))
+    quads = quads.select(*(shortened(F.col(c), prefixes or {}).alias(c) for c in ("s", "o", "g")), F.when(F.col("p") == TYPE, "a").otherwise(shortened(F.col("p"), prefixes or {})).alias("p"))
     objects = quads.distinct().groupBy("g", "s", "p").agg(F.array_join(F.sort_array(F.collect_list("o")), " , ").alias("o"))
-    verb = F.when(F.col("p") == "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>", "a").otherwise(F.col("p"))
-    own = objects.groupBy("g", "s").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(" ", verb, "o"))), " ;\n    ").alias("po"))
+    own = objects.groupBy("g", "s").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(" ", "p", "o"))), " ;\n    ").alias("po"))
     body = F.concat(F.col("s"), F.lit(" "), F.col("po"), F.lit(" ."))
     return own.select(F.when(F.col("g").isNull(), body).otherwise(F.concat(F.col("g"), F.lit(" { "), body, F.lit(" }"))).alias("value"))
