@@ -5,9 +5,11 @@ range coder. A block holds a bounded number of ids and starts from fresh statist
 block's bytes and every block's decoded ids, so that a damaged one is found.
 
 The coder predicts an id from three orders. By the hash of the last two ids and by that of the last one, tables hold the
-id that came then and how often it was right; order 0 is the frequency of classes of ids. The mixture of the three models'
-counts codes whether one of the predicted ids comes or else the class of the id, within which ids are coded evenly.
-Blocks are coded in lockstep, a lane each, so that numpy does the arithmetic of many blocks at once.
+id that came then and how often it was right; each order has counts of what came in its context: order 2's id, order 1's id,
+or another. The orders' probabilities are mixed with weights that follow how well each predicted. Another id is coded by
+order 0: adaptive counts of all ids, as a tree whose nodes hold what is to their left, over a prior that falls with the id.
+Blocks are coded in lockstep, a lane each, so that numpy does the arithmetic of many blocks at once; all of it is integers or
+single IEEE operations, so that decoding repeats it exactly.
 """
 
 from __future__ import annotations
@@ -25,65 +27,137 @@ from pyspark.sql import functions as F
 
 from .common import encode_texts, input_bytes, shuffle_partitions, slices, written
 
-MAGIC, HEADER = b"TSR1", struct.Struct("<4sIQII")  # magic, documents, ids, ids of a block, bytes of the index
+MAGIC, HEADER = b"TSR2", struct.Struct("<4sIQIBI")  # magic, documents, ids, ids of a block, bits of an id, bytes of the index
 
 #: Pieces at whose bounds the word tokenizer always cuts: it drops white space and merges nothing across it.
 WORD_PIECES = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 U = np.uint64
-SLOTS, CONFIDENT, HIT2, HIT1 = 1 << 11, 3, 0, 1
-#: Order 0's classes of ids: where they start, and how many ids each has.
-STARTS = np.array([0, 256, 1024, 2048, 4096, 8192, 16384, 32768, 1 << 17], np.uint64)
-SIZES = np.concatenate([np.ones(2, np.uint64), np.diff(STARTS)])  # by symbol: two hits, then the classes
-BASES = np.concatenate([np.zeros(2, np.uint64), STARTS[:-1]])
-CLASS = np.repeat(np.arange(2, len(SIZES), dtype=np.uint8), np.diff(STARTS).astype(np.int64))
-SYMBOLS = len(SIZES)
-HALVE_EVERY, STEP, START = 128, 24, np.array([60, 30, *[12] * (SYMBOLS - 2)], np.uint16)
-TOP, BOTTOM = U(1 << 48), U(1 << 32)
+SLOTS, CONFIDENT, MOST_BITS, NODES = 1 << 11, 3, 24, 1 << 26
+HIT2, HIT1, OTHER = 0, 1, 2
+CONTEXTS = 1 + 2 * (CONFIDENT + 1)  # of a lane: order 0, and orders 1 and 2 by their confidence
+START, STEP, HALVE_EVERY, SCALE, FORGET = (1.0, 1.0, 6.0), 2.0, 128, float(1 << 15), 0.03
+GAIN, TOP, BOTTOM = 64, U(1 << 48), U(1 << 44)
+
+
+class _Tree:
+    """What all lanes share of order 0: the prior of ids of so many bits, and where a path's nodes lie.
+
+    Four levels of nodes lie together, 16 places apart, so that a path touches a cache line for each four levels.
+    """
+
+    def __init__(self, bits: int):
+        self.bits, self.size = bits, 1 << bits
+        x = np.arange(self.size, dtype=np.int64)
+        self.prior = 1 + (1 << 14) // (x + 256)
+        self.below = np.concatenate([[0], np.cumsum(self.prior)])
+        self.total = int(self.below[-1])
+        level = np.arange(bits)
+        self.whole = bits - level + level % 4  # the bits below a group of levels
+        groups = np.concatenate([[0], np.cumsum(1 << np.arange(0, bits, 4))])
+        self.first = 16 * groups[level // 4] + (1 << level % 4)
+        self.places = 16 * int(groups[-1])
+        self.within = (1 << level % 4) - 1
+        self.shifts = bits - level
+        self.left = np.zeros(self.places, np.int64)  # the prior of the ids to the left, by node
+        for n in range(bits):
+            starts = np.arange(1 << n) << bits - n
+            self.left[self.place(starts, n)] = self.below[starts + (1 << bits - n - 1)] - self.below[starts]
+
+    def place(self, x: np.ndarray, level) -> np.ndarray:
+        return ((x >> self.whole[level]) << 4) + ((x >> self.shifts[level]) & self.within[level]) + self.first[level]
+
+    def path(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the nodes' places, whether each path goes left there) of ids."""
+        x = x.astype(np.int32)[:, None]
+        return self.place(x, slice(None)), ~(x >> self.shifts - 1) & 1
+
+
+_trees: dict[int, _Tree] = {}
 
 
 class _Model:
     """The statistics of every lane; encoder and decoder drive it alike."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, bits: int):
         self.at = np.arange(lanes)
-        self.id2, self.id1 = np.zeros((lanes, SLOTS), np.uint32), np.zeros((lanes, SLOTS), np.uint32)
-        self.sure2, self.sure1 = np.zeros((lanes, SLOTS), np.uint8), np.zeros((lanes, SLOTS), np.uint8)
-        # the counts of order 0, of order 1 by its confidence, and of order 2 by its confidence
-        self.counts = np.tile(START, (lanes * (1 + 2 * (CONFIDENT + 1)), 1))
-        self.base = self.at * (1 + 2 * (CONFIDENT + 1))
-        self.last = np.zeros(lanes, np.uint32)
-        self.before = np.zeros(lanes, np.uint32)
-        self.flat = self.at * SLOTS
+        if bits not in _trees:
+            _trees[bits] = _Tree(bits)
+        self.tree = _trees[bits]
+        self.table = np.zeros(2 * lanes * SLOTS, np.uint32)  # of orders 1 and 2: an id, and how sure it is in the last two bits
+        self.counts = np.tile(np.array(START), (lanes * CONTEXTS, 1))
+        self.weights = np.full((3, lanes), 1 / 3)
+        self.slot = np.stack([self.at * SLOTS, (lanes + self.at) * SLOTS])
+        self.context = np.stack([self.at * CONTEXTS, self.at * CONTEXTS + 1, self.at * CONTEXTS + 2 + CONFIDENT])
+        self.left, self.seen = np.zeros(lanes * self.tree.places, np.uint16), np.zeros(lanes, np.int64)
+        self.root = self.at * self.tree.places
+        self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self.steps = 0
 
-    def predict(self) -> np.ndarray:
-        """Cumulative mixed counts of the symbols by lane."""
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of orders 1 and 2, cumulative frequencies of HIT2, HIT1 and OTHER) by lane."""
         h1 = self.last * np.uint32(0x9E3779B1)
         h2 = (h1 ^ self.before * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D)
-        self.s1, self.s2 = self.flat + (h1 >> np.uint32(21)), self.flat + (h2 >> np.uint32(21))
-        self.p1, self.p2 = self.id1.reshape(-1)[self.s1], self.id2.reshape(-1)[self.s2]
-        self.c1, self.c2 = self.sure1.reshape(-1)[self.s1], self.sure2.reshape(-1)[self.s2]
-        self.k1, self.k2 = self.base + 1 + self.c1, self.base + 2 + CONFIDENT + self.c2
-        mixed = self.counts[self.base] + self.counts[self.k1] + 2 * self.counts[self.k2]
-        cumulative = np.zeros((len(self.at), SYMBOLS + 1), np.uint64)
-        np.cumsum(mixed, axis=1, out=cumulative[:, 1:])
-        return cumulative
+        self.s = self.slot + (np.stack([h1, h2]) >> np.uint32(21))
+        found = self.table[self.s]
+        self.guess, self.c = (found >> np.uint32(2)).astype(np.int64), (found & np.uint32(3)).astype(np.int64)
+        k = self.context.copy()
+        k[1:] += self.c
+        self.k = k
+        n = self.counts[k]
+        self.p = n / (n[:, :, 0] + n[:, :, 1] + n[:, :, 2])[:, :, None]
+        mixed = self.p * self.weights[:, :, None]
+        mixed = mixed[0] + mixed[1] + mixed[2]
+        cumulative = np.zeros((len(self.at), 4), np.uint64)
+        np.cumsum((mixed * SCALE).astype(np.uint64) + U(1), axis=1, out=cumulative[:, 1:])
+        return self.guess, cumulative
 
     def learn(self, symbol: np.ndarray, ids: np.ndarray) -> None:
-        for k in (self.base, self.k1, self.k2):
-            self.counts[k, symbol] += STEP
-        for slots, table, sure, predicted, c in ((self.s1, self.id1, self.sure1, self.p1, self.c1), (self.s2, self.id2, self.sure2, self.p2, self.c2)):
-            right = predicted == ids
-            sure.reshape(-1)[slots] = np.where(right, np.minimum(c + 1, CONFIDENT), np.where(c > 1, c - 1, 0)).astype(np.uint8)
-            table.reshape(-1)[slots] = np.where(right | (c > 1), predicted, ids)
-        self.before, self.last = self.last, ids
+        self.counts[self.k, symbol] += STEP
+        w = self.weights * self.p[:, self.at, symbol]
+        self.weights = w * ((1 - FORGET) / (w[0] + w[1] + w[2])) + FORGET / 3
+        right, c = self.guess == ids, self.c
+        sure = np.where(right, np.minimum(c + 1, CONFIDENT), np.maximum(c - 1, 0))
+        self.table[self.s] = (np.where(right | (c > 1), self.guess, ids) << 2) + sure
+        self.before, self.last = self.last, ids.astype(np.uint32)
         self.steps += 1
         if self.steps % HALVE_EVERY == 0:
-            self.counts -= self.counts >> 1
+            self.counts = self.counts * 0.5 + 0.25
+
+    def share(self, lanes: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of ids of some lanes by order 0: (frequencies below, own frequencies, totals); then order 0 learns them."""
+        t = self.tree
+        place, leftward = t.path(x)
+        at = self.root[lanes][:, None] + place
+        left = self.left[at]
+        self.left[at] = left + leftward.astype(np.uint16)
+        left = left.astype(np.int32)
+        # what has the id itself: from the last turn to the left on, what that node has there less what later ones have
+        rightward = left * (1 - leftward)
+        end = t.bits - np.argmax(leftward[:, ::-1], axis=1) - 1
+        turned = leftward[np.arange(len(x)), end] == 1
+        after = np.cumsum(rightward, axis=1)
+        have = np.where(turned, left[np.arange(len(x)), end], self.seen[lanes])
+        own = have - (after[:, -1] - np.where(turned, after[np.arange(len(x)), end], 0))
+        below = t.below[x] + GAIN * after[:, -1]
+        total = t.total + GAIN * self.seen[lanes]
+        self.seen[lanes] += 1
+        return below.astype(np.uint64), (t.prior[x] + GAIN * own).astype(np.uint64), total.astype(np.uint64)
+
+    def find(self, lanes: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The ids of some lanes in whose frequencies the values fall."""
+        t, value = self.tree, value.astype(np.int64)
+        x, root = np.zeros(len(lanes), np.int64), self.root[lanes]
+        for level in range(t.bits):
+            place = t.place(x, level)
+            left = t.left[place] + GAIN * self.left[root + place].astype(np.int64)
+            right = value >= left
+            value -= left * right
+            x += right.astype(np.int64) << t.bits - level - 1
+        return x
 
 
 def _settle(low: np.ndarray, width: np.ndarray, move) -> None:
-    """Shifts out settled 16-bit words of the lanes' ranges until every range has 32 bits or more; move(lanes) does it."""
+    """Shifts out settled 16-bit words of the lanes' ranges until every range has 44 bits or more; move(lanes) does it."""
     while True:
         straddles = (low ^ (low + width)) >= TOP
         narrow = width < BOTTOM
@@ -98,31 +172,34 @@ def _settle(low: np.ndarray, width: np.ndarray, move) -> None:
         width[go] <<= U(16)
 
 
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """The payload of each array of ids below 2**17, all coded in lockstep; shorter ones are filled up with zeros."""
+def _narrowed(low: np.ndarray, width: np.ndarray, lanes, below: np.ndarray, own: np.ndarray, total: np.ndarray) -> None:
+    r = width[lanes] // total
+    low[lanes] += r * below
+    width[lanes] = r * own
+
+
+def encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
+    """The payload of each array of ids of so many bits, all coded in lockstep; shorter ones are filled up with zeros."""
     lanes, steps = len(blocks), max(map(len, blocks))
-    ids = np.zeros((steps, lanes), np.uint32)
+    ids = np.zeros((steps, lanes), np.int64)
     for lane, block in enumerate(blocks):
         ids[: len(block), lane] = block
-    model = _Model(lanes)
+    model = _Model(lanes, bits)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, U(2**64 - 1))
-    words, at = np.zeros((lanes, 2 * steps + 8), "<u2"), np.zeros(lanes, np.int64)
+    words, at = np.zeros((lanes, 3 * steps + 8), "<u2"), np.zeros(lanes, np.int64)
 
     def move(go):
         words[go, at[go]] = low[go] >> U(48)
         at[go] += 1
 
     for x in ids:
-        cumulative = model.predict()
-        symbol = np.where(x == model.p2, HIT2, np.where(x == model.p1, HIT1, CLASS[x]))
-        r = width // cumulative[:, -1]
+        guess, cumulative = model.predict()
+        symbol = np.where(x == guess[1], HIT2, np.where(x == guess[0], HIT1, OTHER))
         below = cumulative[model.at, symbol]
-        low += r * below
-        width = r * (cumulative[model.at, symbol + 1] - below)
-        _settle(low, width, move)
-        miss = symbol > HIT1  # a class leaves its ids open, evenly; a hit leaves nothing
-        width //= SIZES[symbol]
-        low += width * np.where(miss, x - BASES[symbol], U(0))
+        _narrowed(low, width, slice(None), below, cumulative[model.at, symbol + 1] - below, cumulative[:, -1])
+        other = np.flatnonzero(symbol == OTHER)
+        if len(other):
+            _narrowed(low, width, other, *model.share(other, x[other]))
         _settle(low, width, move)
         model.learn(symbol, x)
     for shift in (48, 32, 16, 0):
@@ -131,14 +208,14 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     return [words[lane, :n].tobytes() for lane, n in enumerate(at.tolist())]
 
 
-def decode_blocks(payloads: list[bytes], lengths: list[int]) -> list[np.ndarray]:
+def decode_blocks(payloads: list[bytes], lengths: list[int], bits: int) -> list[np.ndarray]:
     """What encode_blocks was given, from its payloads and the arrays' lengths."""
     lanes, steps = len(payloads), max(lengths)
-    words = np.zeros((lanes, max(map(len, payloads)) // 2 + 2 * steps + 8), np.uint64)
+    words = np.zeros((lanes, max(map(len, payloads)) // 2 + 3 * steps + 8), np.uint64)
     for lane, payload in enumerate(payloads):
         w = np.frombuffer(payload, "<u2")
         words[lane, : len(w)] = w
-    model = _Model(lanes)
+    model = _Model(lanes, bits)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, U(2**64 - 1))
     code = words[:, 0] << U(48) | words[:, 1] << U(32) | words[:, 2] << U(16) | words[:, 3]
     at = np.full(lanes, 4)
@@ -149,42 +226,52 @@ def decode_blocks(payloads: list[bytes], lengths: list[int]) -> list[np.ndarray]
         at[go] += 1
 
     for t in range(steps):
-        cumulative = model.predict()
-        r = width // cumulative[:, -1]
-        value = np.minimum((code - low) // r, cumulative[:, -1] - U(1))
+        guess, cumulative = model.predict()
+        value = np.minimum((code - low) // (width // cumulative[:, -1]), cumulative[:, -1] - U(1))
         symbol = (cumulative[:, 1:] <= value[:, None]).sum(axis=1)
         below = cumulative[model.at, symbol]
-        low += r * below
-        width = r * (cumulative[model.at, symbol + 1] - below)
-        _settle(low, width, move)
-        width //= SIZES[symbol]
-        tail = np.minimum((code - low) // width, SIZES[symbol] - U(1))
-        low += width * tail
+        _narrowed(low, width, slice(None), below, cumulative[model.at, symbol + 1] - below, cumulative[:, -1])
+        x = np.where(symbol == HIT2, guess[1], guess[0])
+        other = np.flatnonzero(symbol == OTHER)
+        if len(other):
+            total = U(model.tree.total) + U(GAIN) * model.seen[other].astype(np.uint64)
+            value = np.minimum((code[other] - low[other]) // (width[other] // total), total - U(1))
+            x[other] = model.find(other, value)
+            _narrowed(low, width, other, *model.share(other, x[other]))
         _settle(low, width, move)
-        x = (BASES[symbol] + tail).astype(np.uint32)
-        x = np.where(symbol == HIT2, model.p2, np.where(symbol == HIT1, model.p1, x))
         model.learn(symbol, x)
         ids[t] = x
     return [ids[:n, lane].copy() for lane, n in enumerate(lengths)]
 
 
+def _in_groups(code, bits: int, *lists: list) -> list:
+    """code(...) of some lanes at a time, so that the trees of order 0 take bounded memory."""
+    most, out = max(1, NODES >> bits), []
+    for lo in range(0, len(lists[0]), most):
+        out += code(*(x[lo : lo + most] for x in lists), bits)
+    return out
+
+
 # -- segments: a file's rows ------------------------------------------------------------------------------------------
 
 
 def pack_segment(docs: list[int | None], ids: list[np.ndarray], block_ids: int) -> bytes:
     """The bytes of a segment: a header, the zlib-packed index (doc ids, whether null, lengths), the blocks' table, payloads."""
     every = np.concatenate(ids)
+    bits = max(1, int(every.max(initial=0)).bit_length())
+    if bits > MOST_BITS:
+        raise ValueError(f"ids of more than {MOST_BITS} bits")
     blocks = [every[i : i + block_ids] for i in range(0, len(every), block_ids)]
-    payloads = encode_blocks(blocks)
+    payloads = _in_groups(encode_blocks, bits, blocks)
     index = zlib.compress(np.array([[d or 0 for d in docs], [d is None for d in docs], [len(x) for x in ids]], "<i8").tobytes(), 1)
     own = np.array([[len(p), zlib.crc32(p), zlib.crc32(b.astype("<u4").tobytes())] for p, b in zip(payloads, blocks, strict=True)], "<u4").tobytes()
-    head = HEADER.pack(MAGIC, len(docs), len(every), block_ids, len(index))
+    head = HEADER.pack(MAGIC, len(docs), len(every), block_ids, bits, len(index))
     return b"".join([head, zlib.crc32(head + index + own).to_bytes(4, "little"), index, own, *payloads])
 
 
 def read_segment(data: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     """The doc ids and token ids of a segment; ValueError if a checksum doesn't hold."""
-    magic, docs, n, block_ids, size = HEADER.unpack_from(data)
+    magic, docs, n, block_ids, bits, size = HEADER.unpack_from(data)
     at, count = HEADER.size + 4, -(-n // max(block_ids, 1))
     index, own = data[at : at + size], data[at + size : at + size + 12 * count]
     if magic != MAGIC or zlib.crc32(data[: HEADER.size] + index + own) != int.from_bytes(data[at - 4 : at], "little"):
@@ -197,7 +284,7 @@ def read_segment(data: bytes) -> tuple[list[int | None], list[np.ndarray]]:
         at += length
         if zlib.crc32(payloads[-1]) != crc:
             raise ValueError(f"damaged block {b}")
-    blocks = decode_blocks(payloads, [min(block_ids, n - b * block_ids) for b in range(count)])
+    blocks = _in_groups(decode_blocks, bits, payloads, [min(block_ids, n - b * block_ids) for b in range(count)])
     for b, (block, (_, _, crc)) in enumerate(zip(blocks, checks, strict=True)):
         if zlib.crc32(block.astype("<u4").tobytes()) != crc:
             raise ValueError(f"block {b} decodes to other ids")
@@ -233,7 +320,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 1
     """Writes the token ids of docs(doc_id, text), each with the end id, as segments in ascending order of doc_id to `out`.
 
     Rows with a null doc_id come first; rows of the same doc_id are ordered by text; null and empty texts are the end id
-    alone; other columns are ignored; an empty table gives no segments.
+    alone; other columns are ignored; an empty table gives no segments. Ids of more than 24 bits are an error.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     parts = max(shuffle_partitions(docs.sparkSession), -(-min(input_bytes(docs), 1 << 50) // (32 << 20)))
