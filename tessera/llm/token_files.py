@@ -62,6 +62,7 @@ class _Tree:
         for n in range(bits):
             starts = np.arange(1 << n) << bits - n
             self.left[self.place(starts, n)] = self.below[starts + (1 << bits - n - 1)] - self.below[starts]
+        self.paths = self.path(x) if bits <= 17 else None  # of all ids
 
     def place(self, x: np.ndarray, level) -> np.ndarray:
         return ((x >> self.whole[level]) << 4) + ((x >> self.shifts[level]) & self.within[level]) + self.first[level]
@@ -69,7 +70,7 @@ class _Tree:
     def path(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(the nodes' places, whether each path goes left there) of ids."""
         x = x.astype(np.int32)[:, None]
-        return self.place(x, slice(None)), ~(x >> self.shifts - 1) & 1
+        return self.place(x, slice(None)).astype(np.int32), (~(x >> self.shifts - 1) & 1).astype(np.uint16)
 
 
 _trees: dict[int, _Tree] = {}
@@ -123,13 +124,17 @@ class _Model:
         if self.steps % HALVE_EVERY == 0:
             self.counts = self.counts * 0.5 + 0.25
 
-    def share(self, lanes: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of ids of some lanes by order 0: (frequencies below, own frequencies, totals); then order 0 learns them."""
+    def share(self, lanes: np.ndarray, x: np.ndarray, at=None, left=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of ids of some lanes by order 0: (frequencies below, own frequencies, totals); then order 0 learns them.
+
+        at, left: the places of the ids' paths and what is there, where find() has them.
+        """
         t = self.tree
-        place, leftward = t.path(x)
-        at = self.root[lanes][:, None] + place
-        left = self.left[at]
-        self.left[at] = left + leftward.astype(np.uint16)
+        place, leftward = t.path(x) if t.paths is None else (t.paths[0][x], t.paths[1][x])
+        if at is None:
+            at = self.root[lanes][:, None] + place
+            left = self.left[at]
+        self.left[at] = left + leftward
         left = left.astype(np.int32)
         # what has the id itself: from the last turn to the left on, what that node has there less what later ones have
         rightward = left * (1 - leftward)
@@ -143,17 +148,24 @@ class _Model:
         self.seen[lanes] += 1
         return below.astype(np.uint64), (t.prior[x] + GAIN * own).astype(np.uint64), total.astype(np.uint64)
 
-    def find(self, lanes: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """The ids of some lanes in whose frequencies the values fall."""
+    def find(self, lanes: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of some lanes in whose frequencies the values fall, with the places of their paths and what is there."""
         t, value = self.tree, value.astype(np.int64)
         x, root = np.zeros(len(lanes), np.int64), self.root[lanes]
+        at, lefts = np.empty((len(lanes), t.bits), np.int64), np.empty((len(lanes), t.bits), np.uint16)
         for level in range(t.bits):
-            place = t.place(x, level)
-            left = t.left[place] + GAIN * self.left[root + place].astype(np.int64)
+            place = (x >> t.whole[level]) << 4
+            if t.within[level]:
+                place += (x >> t.shifts[level]) & t.within[level]
+            place += t.first[level]
+            own = root + place
+            found = self.left[own]
+            at[:, level], lefts[:, level] = own, found
+            left = t.left[place] + GAIN * found.astype(np.int64)
             right = value >= left
             value -= left * right
-            x += right.astype(np.int64) << t.bits - level - 1
-        return x
+            x += right * np.int64(1 << t.bits - level - 1)
+        return x, at, lefts
 
 
 def _settle(low: np.ndarray, width: np.ndarray, move) -> None:
@@ -236,8 +248,8 @@ def decode_blocks(payloads: list[bytes], lengths: list[int], bits: int) -> list[
         if len(other):
             total = U(model.tree.total) + U(GAIN) * model.seen[other].astype(np.uint64)
             value = np.minimum((code[other] - low[other]) // (width[other] // total), total - U(1))
-            x[other] = model.find(other, value)
-            _narrowed(low, width, other, *model.share(other, x[other]))
+            x[other], *path = model.find(other, value)
+            _narrowed(low, width, other, *model.share(other, x[other], *path))
         _settle(low, width, move)
         model.learn(symbol, x)
         ids[t] = x

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from tessera.llm.common import encode_texts
 from tessera.llm.packing import BYTE_PIECES, BestFit, pack, pieces
 from tessera.llm.substrings import remove_repeats
-from tessera.llm.token_files import WORD_PIECES, decode_blocks, encode_blocks, pack_segment, read_segment, read_tokens, write_tokens
+from tessera.llm.token_files import _Model, WORD_PIECES, decode_blocks, encode_blocks, pack_segment, read_segment, read_tokens, write_tokens
 
 
 def kept_words(rows, span):
@@ -113,23 +113,55 @@ def test_packing(odd):
 
 
 @settings(max_examples=25, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 2**17 - 1), min_size=1, max_size=80), min_size=1, max_size=5))
-def test_coder_round_trip(blocks):
+@given(st.sampled_from([1, 3, 8, 17, 18]), st.data())
+def test_coder_round_trip(bits, data):
+    blocks = data.draw(st.lists(st.lists(st.integers(0, 2**bits - 1), min_size=1, max_size=80), min_size=1, max_size=5))
     arrays = [np.array(b, np.uint32) for b in blocks]
-    back = decode_blocks(encode_blocks(arrays), [len(b) for b in blocks])
+    back = decode_blocks(encode_blocks(arrays, bits), [len(b) for b in blocks], bits)
     assert [x.tolist() for x in back] == blocks
 
 
 def test_coder_predicts():
     ids = np.tile(np.arange(40_000, 40_050, dtype=np.uint32), 40)
-    assert len(encode_blocks([ids])[0]) < len(ids) / 2
+    assert len(encode_blocks([ids], 16)[0]) < len(ids) / 2  # orders 1 and 2
+    few = np.random.default_rng(3).choice(np.arange(30_000, 60_000, 1_000, dtype=np.uint32), 4_000)
+    size = len(encode_blocks([few], 16)[0]) * 8 / len(few)
+    assert size < 7  # order 0 alone: 30 ids at random, of which each takes log2(30) = 4.9 bits, after it has learned them
+
+
+def test_order_0_shares_add_up():
+    """The frequencies of all ids fill the total, before and after it learned some; find() is the inverse."""
+    model, lane = _Model(1, 6), np.zeros(64, np.int64)
+    r = np.random.default_rng(4)
+    for x in [None, *r.integers(0, 64, 50)]:
+        if x is not None:
+            model.share(np.array([0]), np.array([x]))
+        kept = model.left.copy(), model.seen.copy()
+        parts = []
+        for i in range(64):
+            parts.append([int(v[0]) for v in model.share(np.array([0]), np.array([i]))])
+            model.left, model.seen = kept[0].copy(), kept[1].copy()
+        at = 0
+        for below, own, total in parts:
+            assert below == at and own > 0
+            at += own
+        assert at == parts[0][2]
+        found = [int(model.find(lane[:1], np.array([v], np.uint64))[0][0]) for b, o, _ in parts for v in (b, b + o - 1)]
+        assert found == [i for i in range(64) for _ in (0, 1)]
+
+
+def test_large_ids():
+    docs, ids = read_segment(pack_segment([1], [np.array([2**24 - 1, 5, 2**24 - 1], np.uint32)], 8))
+    assert ids[0].tolist() == [2**24 - 1, 5, 2**24 - 1]
+    with pytest.raises(ValueError):
+        pack_segment([1], [np.array([2**24], np.uint32)], 8)
 
 
 def test_segment_finds_damage():
     data = bytearray(pack_segment([3, None, 5], [np.arange(5, dtype=np.uint32), np.array([1], np.uint32), np.arange(900, dtype=np.uint32)], 64))
     docs, ids = read_segment(bytes(data))
     assert docs == [3, None, 5] and [len(x) for x in ids] == [5, 1, 900]
-    for at in (0, 10, 30, len(data) // 2, len(data) - 1):
+    for at in (0, 10, 31, len(data) // 2, len(data) - 1):
         bad = bytearray(data)
         bad[at] ^= 1
         with pytest.raises(ValueError):
