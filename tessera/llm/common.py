@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import string
-import tempfile
-import uuid
 from array import array
 from collections.abc import Iterator
 
@@ -13,29 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.session import shared_dir, written  # noqa: F401 - the operators take them from here
+
 #: Entries kept by the per-worker word caches before they start anew; bounds the memory of a worker.
 CACHE_ENTRIES = 300_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where unset, a temporary folder on local masters only."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet to the shared folder and reads it back with the same schema."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
