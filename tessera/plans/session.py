@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,13 +23,16 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        folder = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, folder, True)
+        path = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: df written as Parquet to the shared folder and read back."""
+    """Cuts the lineage: df written as Parquet to the shared folder and read back with the same schema. The folder is the
+    job's to delete: what is read back is read lazily."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -277,10 +277,10 @@ def _documents(head: str, rows, tail: str, between: str = ""):
 def _json_object(o: tuple) -> dict:
     if o[0] in ("iri", "bnode"):
         return {"@id": ("_:" if o[0] == "bnode" else "") + o[1]}
-    if o[0] == "triple":
-        raise ValueError("JSON-LD has no triple terms")
-    _, lex, dt, lang, way = o
-    return {"@value": lex} | ({"@language": lang} if lang else {"@type": dt} if dt != STRING else {}) | ({"@direction": way} if way else {})
+    if o[0] == "triple" or o[4]:
+        raise ValueError("JSON-LD has no triple terms, and its directions are no part of RDF by default")
+    _, lex, dt, lang, _ = o
+    return {"@value": lex} | ({"@language": lang} if lang else {"@type": dt} if dt != STRING else {})
 
 
 def write_jsonld(batches):
