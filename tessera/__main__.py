@@ -1,4 +1,4 @@
-"""python -m tessera query|update|load|export|compact|verify|pipe ...: a thin command line."""
+"""python -m tessera query|update|load|export|compact|verify|serve|pipe ...: a thin command line."""
 
 from __future__ import annotations
 
@@ -30,6 +30,10 @@ def main(args: list[str]) -> int:
         Store(spark, rest[0]).compact()
     elif verb == "verify":
         return 0 if Store(spark, rest[0]).verify() else 1
+    elif verb == "serve":
+        from tessera.server import serve
+
+        serve(Store(spark, rest[0]), port=int(rest[1]) if len(rest) > 1 else 8080).serve_forever()
     elif verb == "pipe":
         out = pipeline.run(spark, rest)
         if isinstance(out, int):

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +45,40 @@ def query(data: Dataset, text: str, base: str | None = None) -> Result:
     return evaluate(data, parse_query(text, base))
 
 
+class DeadlineExceeded(RuntimeError):
+    """A request took longer than it may."""
+
+
+@contextmanager
+def deadline(spark: SparkSession, seconds: float, group: str | None = None) -> Iterator[str]:
+    """Runs a block's Spark jobs in a job group that is cancelled after so many seconds; cancel() ends it from another thread."""
+    sc, group, late = spark.sparkContext, group or f"tessera-{uuid.uuid4().hex}", threading.Event()
+
+    def stop():
+        late.set()
+        sc.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop)
+    sc.setJobGroup(group, "tessera request", interruptOnCancel=True)
+    timer.start()
+    try:
+        yield group
+    except Exception as e:
+        if late.is_set():
+            raise DeadlineExceeded(f"more than {seconds} seconds") from e
+        raise
+    finally:
+        timer.cancel()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    if late.is_set():
+        raise DeadlineExceeded(f"more than {seconds} seconds")
+
+
+def cancel(spark: SparkSession, group: str) -> None:
+    """Cancels the jobs of a group that deadline() named."""
+    spark.sparkContext.cancelJobGroup(group)
+
+
 def explain(data: Dataset, text: str) -> str:
     """The formatted physical plan of a query."""
     df = query(data, text).df

@@ -66,12 +66,19 @@ def canonical(line: str, scope: str, quads: bool = True) -> tuple | None:
     return (*keys, *[None] * (4 - len(keys)))
 
 
+def parsed(text: str, syntax: str, base: str) -> list[tuple]:
+    """The quads of a small document of any syntax."""
+    if syntax in ("nt", "nq"):
+        return [q for line in text.splitlines() if (q := canonical(line, "f0", syntax == "nq"))]
+    return PARSERS[syntax](text, base, "f0")
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) if rows else [()] * 4
     return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["s", "p", "o", "g"])
 
 
-def read_lines(spark: SparkSession, path: str, quads: bool = True) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, quads: bool = True, lenient: bool = False, spec12: bool = True) -> DataFrame:
     """N-Quads or N-Triples. Lines in the form that writers give are checked by one pattern in the JVM and cut at their
     blanks; others (escapes, white space, comments, triple terms, errors) go through the parser, which raises on a line that
     is no statement."""
@@ -95,7 +102,16 @@ def read_lines(spark: SparkSession, path: str, quads: bool = True) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = (canonical(v, s, quads) for v, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            found = []
+            for v, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    q = canonical(v, s, quads)
+                    if q and not spec12 and any(x and (x.startswith("<<(") or x.startswith('"') and x.rpartition('"')[2].endswith(("--ltr", "--rtl"))) for x in q):
+                        raise SparqlError(f"RDF 1.2: {v[:80]}")
+                    found.append(q)
+                except SparqlError:
+                    if not lenient:
+                        raise
             yield _rows([q for q in found if q])
 
     return easy.union(hard.mapInArrow(run, QUAD))
@@ -117,10 +133,11 @@ def read_documents(spark: SparkSession, path: str, syntax: str, base: str | None
     return files.mapInArrow(run, QUAD)
 
 
-def read(spark: SparkSession, path: str, syntax: str | None = None, base: str | None = None) -> DataFrame:
-    """The statements of a file or folder; repeated ones stay."""
+def read(spark: SparkSession, path: str, syntax: str | None = None, base: str | None = None, lenient: bool = False, spec12: bool = True) -> DataFrame:
+    """The statements of a file or folder; repeated ones stay. Of N-Triples and N-Quads, lenient leaves lines out that are no
+    statements, and without spec12 triple terms and directions are errors."""
     syntax = syntax or format_of(path)
-    return read_lines(spark, path, syntax == "nq") if syntax in ("nt", "nq") else read_documents(spark, path, syntax, base)
+    return read_lines(spark, path, syntax == "nq", lenient, spec12) if syntax in ("nt", "nq") else read_documents(spark, path, syntax, base)
 
 
 def lines(quads: DataFrame, graphs: bool = True) -> DataFrame:
