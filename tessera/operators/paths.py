@@ -67,7 +67,7 @@ def pairs(p, data, graph) -> Rel:
     steps = pairs(p[1], data, graph)
     if k == "opt":
         return _distinct(union(steps, identity(data, graph, extra)))
-    out = closure(steps, steps, extra)
+    out = closure(steps, steps, extra, whole=True)
     return _distinct(union(out, identity(data, graph, extra))) if k == "star" else out
 
 
@@ -89,8 +89,14 @@ def identity(data, graph, extra) -> Rel:
     return Rel(n.df.withColumn(name_of("b"), column("a")), {**n.reps, "b": n.reps["a"]}, n.certain | {"b"}).keep(["a", "b", *extra])
 
 
-def closure(start: Rel, steps: Rel, extra) -> Rel:
-    """start followed by any number of steps, distinct."""
+COMPACT = 8
+
+
+def closure(start: Rel, steps: Rel, extra, whole: bool = False) -> Rel:
+    """start followed by any number of steps, distinct; whole: start is steps, so that lengths can double each round.
+
+    The first 2**k steps of a shortest path of more than 2**k are a shortest path themselves, which round k found.
+    """
     names = ["a", "b", *extra]
     steps, start = unified(steps, start, ["a", "b"])
     if steps.reps["a"] != steps.reps["b"]:
@@ -98,15 +104,20 @@ def closure(start: Rel, steps: Rel, extra) -> Rel:
     if start.reps["b"] != steps.reps["a"]:
         steps, start = steps.as_terms(["a", "b"]), start.as_terms(["a", "b"])
     cols = [name_of(v) for v in names]
-    edges = written(steps.keep(names).df.distinct()).withColumnsRenamed({name_of("a"): "__m", name_of("b"): "__next"})
     known = fresh = written(start.keep(names).df.distinct())
+    edges = None if whole else written(steps.keep(names).df.distinct())
+    rounds = 0
     while not fresh.isEmpty():
-        on = fresh[name_of("b")] == edges["__m"]
+        # from a seed by a step; else what the last round found by all that is known, which doubles the length
+        onward = (known if whole else edges).withColumnsRenamed({name_of("a"): "__m", name_of("b"): "__next"})
+        on = fresh[name_of("b")] == onward["__m"]
         for h in extra:
-            on = on & (fresh[name_of(h)] == edges[name_of(h)])
-        step = fresh.join(edges, on).select(fresh[name_of("a")], F.col("__next").alias(name_of("b")), *(fresh[name_of(h)] for h in extra)).distinct()
+            on = on & (fresh[name_of(h)] == onward[name_of(h)])
+        step = fresh.join(onward, on).select(fresh[name_of("a")], F.col("__next").alias(name_of("b")), *(fresh[name_of(h)] for h in extra)).distinct()
         fresh = written(step.join(known, cols, "left_anti").select(*cols))
-        known = known.union(fresh)
+        known, rounds = known.union(fresh), rounds + 1
+        if whole or rounds % COMPACT == 0:
+            known = written(known)  # so that the next rounds read one table
     return Rel(known, {**start.reps}, set(names))
 
 
