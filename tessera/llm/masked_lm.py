@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import CACHE_ENTRIES, slices, written
 
-PAD, TAILS, SIDE, BATCH, GROUP = 0, 15, 2, 4096, 64
+PAD, TAILS, SIDE, BATCH, GROUP = 0, 15, 2, 16_384, 64
 CELLS = 1 << 16  # of a tail class
 TRAINERS, SUMS = 4096, 16  # partitions that train, and rows of weights that reach the driver
 
@@ -104,6 +104,23 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
+def _log_probability(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Of each row's number own, from logits, which are used up."""
+    z -= z.max(axis=1, keepdims=True)
+    chosen = z[np.arange(len(z)), own]
+    np.exp(z, out=z)
+    return chosen - np.log(z.sum(axis=1))
+
+
+def by_group(own: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """(the order by group of numbers own, [(group, from, to)] in that order)."""
+    group = (own // GROUP).astype(np.uint16)
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    at = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(own)] if len(own) else [0]
+    return order, [(int(group[a]), a, b) for a, b in zip(at, at[1:], strict=False)]
+
+
 class Network:
     def __init__(self, size: int, width: int = 8, hidden: int = 24, seed: int = 7):
         r = np.random.default_rng(seed)
@@ -122,32 +139,27 @@ class Network:
             at += x.size
         return self
 
-    def forward(self, ids: np.ndarray, at: np.ndarray):
-        """(numbers around, inputs, hidden layer, probabilities of the groups) of positions."""
+    def hidden_layer(self, ids: np.ndarray, at: np.ndarray):
+        """(numbers around, inputs, hidden layer, the groups' logits) of positions."""
         e, w, b, u, c = self.p[:5]
         around = ids[at[:, None] + np.array([-2, -1, 1, 2])]
         x = e[around].reshape(len(at), -1)
         h = np.tanh(x @ w + b)
-        return around, x, h, _softmax(h @ u + c)
-
-    def by_group(self, h: np.ndarray, own: np.ndarray):
-        """(group, rows whose number is of it, their numbers in it, probabilities of its words) for each group of the numbers own."""
-        group = (own // GROUP).astype(np.uint16)
-        order = np.argsort(group, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-            g = int(group[rows[0]])
-            yield g, rows, own[rows] % GROUP, _softmax(h[rows] @ self.p[5][g] + self.p[6][g])
+        return around, x, h, h @ u + c
 
     def log_probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         out = np.empty(len(at), np.float64)
-        for lo in range(0, len(at), 4 * BATCH):
-            some = at[lo : lo + 4 * BATCH]
+        for lo in range(0, len(at), BATCH):
+            some = at[lo : lo + BATCH]
             own = ids[some]
-            _, _, h, z = self.forward(ids, some)
-            p = z[np.arange(len(some)), own // GROUP].astype(np.float64)
-            for _, rows, n, q in self.by_group(h, own):
-                p[rows] *= q[np.arange(len(rows)), n]
-            out[lo : lo + 4 * BATCH] = np.log(np.maximum(p, 1e-30))
+            h, z = self.hidden_layer(ids, some)[2:]
+            found = _log_probability(z, own // GROUP)
+            order, groups = by_group(own)
+            h, inside, within = h[order], own[order] % GROUP, np.empty(len(some), z.dtype)
+            for g, a, b in groups:
+                within[a:b] = _log_probability(h[a:b] @ self.p[5][g] + self.p[6][g], inside[a:b])
+            found[order] += within
+            out[lo : lo + BATCH] = np.maximum(found, -70)
         return out
 
     def train(self, ids: np.ndarray, at: np.ndarray, state: dict, rate: float = 0.01) -> None:
@@ -155,16 +167,21 @@ class Network:
         for lo in range(0, len(at), BATCH):
             some = at[lo : lo + BATCH]
             n, own = len(some), ids[some]
-            around, x, h, z = self.forward(ids, some)
+            around, x, h, z = self.hidden_layer(ids, some)
+            _softmax(z)
             z[np.arange(n), own // GROUP] -= 1
             z /= n
             dh = z @ self.p[3].T
             du, dc = np.zeros_like(self.p[5]), np.zeros_like(self.p[6])
-            for g, rows, k, q in self.by_group(h, own):
-                q[np.arange(len(rows)), k] -= 1
+            order, groups = by_group(own)
+            hs, inside, ds = h[order], own[order] % GROUP, np.empty_like(h)
+            for g, a, b in groups:
+                q = _softmax(hs[a:b] @ self.p[5][g] + self.p[6][g])
+                q[np.arange(b - a), inside[a:b]] -= 1
                 q /= n
-                du[g], dc[g] = h[rows].T @ q, q.sum(axis=0)
-                dh[rows] += q @ self.p[5][g].T
+                du[g], dc[g] = hs[a:b].T @ q, q.sum(axis=0)
+                ds[a:b] = q @ self.p[5][g].T
+            dh[order] += ds
             dh *= 1 - h * h
             dx = (dh @ self.p[1].T).reshape(-1, self.width)
             de = np.stack([np.bincount(around.ravel(), dx[:, k], self.size) for k in range(self.width)], axis=1).astype(np.float32)
