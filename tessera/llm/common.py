@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans.session import shared_dir, written  # noqa: F401 - the operators take them from here
+from tessera.plans.session import discard, shared_dir, written  # noqa: F401 - the operators take them from here
 
 #: Entries kept by the per-worker word caches before they start anew; bounds the memory of a worker.
 CACHE_ENTRIES = 300_000

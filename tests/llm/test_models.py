@@ -19,7 +19,7 @@ from tessera.llm.common import tokenizer
 from tessera.llm.decontaminate import align, decontaminated, find_leaks
 from tessera.llm.masked_lm import Network, score, train
 from tessera.llm.pii import pseudonymised
-from tessera.llm.quality import Model, Vocabulary, classify, kept
+from tessera.llm.quality import Model, Vocabulary, classify, fit, kept, perplexities
 from tessera.llm.topk import at_least, build_index, coarse_sums, inner, kth_largest, top_k
 
 TEXT = st.text(st.sampled_from("\\#/<>turn: \nAé\U0001f600"), max_size=30)
@@ -342,6 +342,30 @@ def test_runs_of_a_word_are_rejected(spark):
     assert sorted(x.doc_id for x in kept(df, labels).collect()) == sorted(i for i, k in got.items() if k)
 
 
+def test_training_takes_every_trusted_document(spark):
+    """Beyond 2,000 documents, too; and a model in blocks gives what one in memory does."""
+    r = random.Random(19)
+    docs = [(i, " ".join(r.choices("abcdefgh", k=r.randint(0, 9))), "en" if i % 3 else None) for i in range(4500)]
+    df = spark.createDataFrame([*docs, (None, "a b", "en"), (7000, None, "en"), (7001, "c", "zz"), (7002, "", "en"), (5, docs[5][1], "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(4500)], "doc_id long, quality int, toxic int")
+    ids = [x.doc_id for x in labels.where(F.xxhash64("doc_id") % 2 == 0).collect()]
+    model, v = fit(df, labels), Vocabulary(sorted("abcdefgh"))
+    assert len(ids) > 2000 and sorted(model.vocabulary.words) == v.words
+    of = [np.concatenate([np.zeros(2, np.uint64), model.vocabulary.numbers(docs[i][1])]) for i in ids]
+    tri, n = np.unique(np.concatenate([(w[:-2] * np.uint64(v.size) + w[1:-1]) * np.uint64(v.size) + w[2:] for w in of]), return_counts=True)
+    whole = Model.trained(model.vocabulary, tri, n)
+    assert (model.tri == tri).all() and np.allclose(model.tri_p, whole.tri_p) and np.allclose(model.uni, whole.uni)
+    tables = fit(df, labels, in_memory=0, block=200)
+    assert tables.blocks > 2
+    rows = lambda m: sorted(((x.id, x.doc_id, x.lang, x.n_words, x.repeated, x.perplexity) for x in perplexities(df, m).collect()), key=repr)
+    a, b = rows(model), rows(tables)
+    assert len(a) == len(b) == 4505
+    for x, y in zip(a, b, strict=True):
+        assert x[:5] == y[:5] and (x[5] == y[5] or abs(x[5] - y[5]) < 1e-5 * x[5])
+    ids = lambda **bounds: sorted(map(repr, kept(df, labels, quantile=0.9, **bounds).collect()))
+    assert ids() == ids(in_memory=0, block=200) and 0 < len(ids()) < 4504
+
+
 def test_masked_lm(spark, odd):
     r = random.Random(9)
     docs = [(i, " ".join("a b c d e f g h".split()[j % 8] for j in range(r.randrange(8), 400))) for i in range(60)]
