@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, written
 
-BLOCK_ROWS, SLICES, QUERY_ROWS, QUERY_BYTES = 4096, 3, 256, 16 << 20
+BLOCK_ROWS, SLICES, QUERY_ROWS, QUERY_BYTES = 4096, 6, 256, 16 << 20
 ALL = np.uint64(2**64 - 1)
 INDEX = "dim int, rows int, ids binary, vectors binary, slices binary, low binary, shift int, rest double, spread double"
 
@@ -79,26 +79,42 @@ def build_index(vectors: DataFrame) -> DataFrame:
 
 
 def coarse_sums(slices: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
-    """Bit slices, least significant first, of the sums over components of |w| * c, or |w| * (2**SLICES - 1 - c) where w < 0.
+    """Bit slices, least significant first, of the sums over components of |w| * c, or |w| * (2**n - 1 - c) where w < 0.
 
-    slices: [components, SLICES, words]; weights: [queries, components], small integers.
+    slices: [components, n, words]; weights: [queries, components], small integers.
     """
     size = np.abs(weights)
-    levels = int(size.sum(axis=1).max() * (2**SLICES - 1)).bit_length()
+    levels = int(size.sum(axis=1).max() * (2 ** slices.shape[1] - 1)).bit_length()
     total = [np.zeros((len(weights), slices.shape[2]), np.uint64) for _ in range(levels)]
+    waiting: list[np.ndarray | None] = [None] * (levels + 1)
     negative = np.where(weights < 0, ALL, np.uint64(0))
-    carry, spare = np.empty_like(total[0]) if levels else None, np.empty_like(total[0]) if levels else None
+
+    def add(bits: np.ndarray, at: int) -> None:
+        """Two slices of a level are added to its sum at once, by a full adder, so that half as many carries go up."""
+        while at < levels:
+            if waiting[at] is None:
+                waiting[at] = bits
+                return
+            other, waiting[at] = waiting[at], None
+            both = bits & other
+            np.bitwise_xor(bits, other, out=bits)
+            np.bitwise_and(total[at], bits, out=other)
+            np.bitwise_xor(total[at], bits, out=total[at])
+            bits, at = np.bitwise_or(both, other, out=both), at + 1
+
     for d in range(slices.shape[0]):
         bits = int(size[:, d].max()).bit_length()
         masks = [np.where(size[:, d] >> b & 1, ALL, np.uint64(0))[:, None] for b in range(bits)]
-        for s in range(SLICES):
+        for s in range(slices.shape[1]):
             own = slices[d, s] ^ negative[:, d, None]
             for b, mask in enumerate(masks):
-                np.bitwise_and(own, mask, out=carry)
-                for at in range(s + b, levels):
-                    np.bitwise_and(total[at], carry, out=spare)
-                    np.bitwise_xor(total[at], carry, out=total[at])
-                    carry, spare = spare, carry
+                add(own & mask, s + b)
+    for at in range(levels):
+        if (bits := waiting[at]) is not None:
+            waiting[at] = None
+            carry = total[at] & bits
+            np.bitwise_xor(total[at], bits, out=total[at])
+            add(carry, at + 1)
     return total
 
 

@@ -20,7 +20,7 @@ from tessera.llm.decontaminate import align, decontaminated, find_leaks
 from tessera.llm.masked_lm import Network, score, train
 from tessera.llm.pii import pseudonymised
 from tessera.llm.quality import Model, Vocabulary, classify, fit, kept, perplexities
-from tessera.llm.topk import at_least, build_index, coarse_sums, inner, kth_largest, top_k
+from tessera.llm.topk import INDEX, _Best, _block, _search_block, at_least, build_index, coarse_sums, inner, kth_largest, top_k
 
 TEXT = st.text(st.sampled_from("\\#/<>turn: \nAé\U0001f600"), max_size=30)
 
@@ -78,6 +78,44 @@ def test_bit_slices():
     assert (bits(at_least(total, valid, bound)) == (want >= bound[:, None])).all()
 
 
+def test_sums_take_few_operations(monkeypatch):
+    """About five of whole bitmaps for each slice that is added, however many levels the sums have."""
+    r, ops = np.random.default_rng(23), []
+    slices, weights = r.integers(0, 2**63, (64, 3, 2)).astype(np.uint64), r.integers(-7, 8, (5, 64))
+
+    class Counted(np.ndarray):
+        def __array_ufunc__(self, ufunc, method, *inputs, out=None, **kw):
+            ops.append(ufunc.__name__)
+            plain = lambda x: x.view(np.ndarray) if isinstance(x, Counted) else x
+            done = getattr(ufunc, method)(*map(plain, inputs), **({"out": tuple(map(plain, out))} if out else {}), **kw)
+            return out[0] if out else done.view(Counted) if isinstance(done, np.ndarray) else done
+
+    zeros = np.zeros
+    monkeypatch.setattr("tessera.llm.topk.np.zeros", lambda *a, **kw: zeros(*a, **kw).view(Counted))
+    monkeypatch.setattr("tessera.llm.topk.np.empty_like", lambda x: zeros(x.shape, x.dtype).view(Counted))
+    total = coarse_sums(slices.view(Counted), weights)
+    monkeypatch.undo()
+    bits = np.unpackbits(slices.view(np.uint8), axis=2, bitorder="little").astype(np.int64)
+    c = bits[:, 0] + 2 * bits[:, 1] + 4 * bits[:, 2]
+    want = np.array([np.where(w[:, None] < 0, -w[:, None] * (7 - c), w[:, None] * c).sum(axis=0) for w in weights])
+    got = sum(np.unpackbits(np.ascontiguousarray(np.asarray(t)).view(np.uint8), axis=1, bitorder="little").astype(np.int64) << i for i, t in enumerate(total))
+    assert (got == want).all()
+    assert len(ops) < 8 * 64 * 3 * 3
+
+
+def test_slices_leave_few_rows_to_resolve(monkeypatch):
+    r, pairs = np.random.default_rng(29), []
+    vectors = [[int(x) for x in v] for v in r.normal(0, 40, (4096, 64))]
+    row = dict(zip([x.split()[0] for x in INDEX.split(", ")], _block(list(range(4096)), vectors), strict=True))
+    monkeypatch.setattr("tessera.llm.topk.inner", lambda a, b: pairs.append(len(a)) or inner(a, b))
+    best, queries = _Best(100, 5), np.array(vectors[:100])
+    _search_block(row, np.arange(100), queries, best, 0, 5)
+    scores = queries @ np.array(vectors).T
+    scores[np.arange(100), np.arange(100)] = -(2**40)
+    assert (best.score.reshape(100, 5) == -np.sort(-scores, axis=1)[:, :5]).all()
+    assert sum(pairs) < 0.1 * 100 * 4096
+
+
 @pytest.mark.parametrize("ties", [False, True])
 def test_top_k(spark, ties):
     r = np.random.default_rng(4)
