@@ -175,7 +175,7 @@ def pseudonymised(docs: DataFrame, key: str, count: str | None = None) -> DataFr
     new = parts.join(names, ["type", "entity"]).groupBy("mention", "kind").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate"))).alias("new"))
     shown = written(new.select("mention", "kind", F.col("new.surrogate").alias("new")).select("mention", F.expr(_shown()).alias("shown")))
     maps = found.join(shown, "mention").groupBy(id_).agg(F.map_from_entries(F.collect_list(F.struct("mention", "shown"))).alias(map_))
-    joined = docs_.join(written(maps), id_, "left")
+    joined = docs_.join(written(maps).hint("merge"), id_, "left")  # at any size the same, so that what it moves grows with the input
     joined = joined.withColumn(list_, F.when(F.col(map_).isNotNull(), F.regexp_extract_all("text", F.lit(DETECT), F.lit(0))))
     pieces = F.transform(F.split("text", DETECT, -1), lambda p, i: F.concat(p, F.coalesce(F.try_element_at(map_, F.get(list_, i)), F.get(list_, i), F.lit(""))))
     text = F.when(F.col(map_).isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))

@@ -267,6 +267,13 @@ def test_pii(spark, odd):
     assert pseudonymised(odd, "key").count() == odd.count() and pseudonymised(odd.limit(0), "key").collect() == []
 
 
+def test_pii_joins_alike_at_any_size(spark):
+    """So that what it shuffles on a small input tells what it does on a large one."""
+    df = spark.createDataFrame([(1, "a@b.org")], "doc_id long, text string")
+    plan = pseudonymised(df, "k")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_pii_stays_distinct(spark):
     """Three-letter addresses have few surrogates, so that draws collide and are drawn anew."""
     texts = [f"{a}{b}@x.io" for a in "abcdefghijklmnopqrst" for b in "abcdefghij"]
