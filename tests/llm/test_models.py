@@ -19,7 +19,7 @@ import corpus_pipeline
 from tessera.llm.chat import format_chats, intersect, parse, read_back, render
 from tessera.llm.common import shared_dir, tokenizer
 from tessera.llm.decontaminate import align, decontaminated, find_leaks
-from tessera.llm.masked_lm import Network, score, train
+from tessera.llm.masked_lm import Network, _log_probability, _softmax, score, train
 from tessera.llm.pii import pseudonymised
 from tessera.llm.quality import Model, Vocabulary, classify, fit, kept, perplexities
 from tessera.llm.topk import INDEX, _Best, _block, _search_block, at_least, build_index, coarse_sums, inner, kth_largest, top_k
@@ -486,6 +486,16 @@ def test_network_gradient():
     assert net.log_probabilities(ids, at).mean() > before + 1
 
 
+def test_logits_lie_in_long_rows():
+    """A row a group, so that numpy doesn't reduce many short rows; the probabilities of a column sum to one."""
+    n, ids = Network(700), np.arange(2, 502, dtype=np.int32)
+    z = n.hidden_layer(ids, np.arange(2, 400))[3]
+    assert z.shape == (n.groups, 398) and z.flags.c_contiguous
+    own = np.arange(398) % n.groups
+    p = _softmax(z.copy())
+    assert np.allclose(p.sum(axis=0), 1, atol=1e-5) and np.allclose(np.exp(_log_probability(z, own)), p[own, np.arange(398)], rtol=1e-4)
+
+
 def test_scores_are_sums_of_log_probabilities(spark):
     """Every word's probability by a plain formula from the network's weights and the corpus's counts."""
     r = random.Random(19)
