@@ -34,6 +34,7 @@ WORD_PIECES = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 U = np.uint64
 SLOTS, CONFIDENT, MOST_BITS, NODES = 1 << 11, 3, 24, 1 << 26
 HIT2, HIT1, OTHER = 0, 1, 2
+ORDERS = np.arange(3)[:, None]
 CONTEXTS = 1 + 2 * (CONFIDENT + 1)  # of a lane: order 0, and orders 1 and 2 by their confidence
 START, STEP, HALVE_EVERY, SCALE, FORGET = (1.0, 1.0, 6.0), 2.0, 128, float(1 << 15), 0.03
 GAIN, TOP, BOTTOM = 64, U(1 << 48), U(1 << 44)
@@ -42,37 +43,26 @@ GAIN, TOP, BOTTOM = 64, U(1 << 48), U(1 << 44)
 class _Tree:
     """What all lanes share of order 0: the prior of ids of so many bits, and where a path's nodes lie.
 
-    Four levels of nodes lie together, 16 places apart, so that a path touches a cache line for each four levels.
+    A node has 16 children, by four bits of the id, and is a row of 16 counts, so that a path touches a row for each four bits.
     """
 
     def __init__(self, bits: int):
-        self.bits, self.size = bits, 1 << bits
-        x = np.arange(self.size, dtype=np.int64)
-        self.prior = 1 + (1 << 14) // (x + 256)
+        self.size = 1 << bits
+        self.prior = 1 + (1 << 14) // (np.arange(self.size, dtype=np.int64) + 256)
         self.below = np.concatenate([[0], np.cumsum(self.prior)])
         self.total = int(self.below[-1])
-        level = np.arange(bits)
-        self.whole = bits - level + level % 4  # the bits below a group of levels
-        groups = np.concatenate([[0], np.cumsum(1 << np.arange(0, bits, 4))])
-        self.first = 16 * groups[level // 4] + (1 << level % 4)
-        self.places = 16 * int(groups[-1])
-        self.within = (1 << level % 4) - 1
-        self.shifts = bits - level
-        self.left = np.zeros(self.places, np.int64)  # the prior of the ids to the left, by node
-        for n in range(bits):
-            starts = np.arange(1 << n) << bits - n
-            self.left[self.place(starts, n)] = self.below[starts + (1 << bits - n - 1)] - self.below[starts]
-        self.paths = self.path(x) if bits <= 17 else None  # of all ids
-
-    def place(self, x: np.ndarray, level) -> np.ndarray:
-        return ((x >> self.whole[level]) << 4) + ((x >> self.shifts[level]) & self.within[level]) + self.first[level]
-
-    def path(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(the nodes' places, whether each path goes left there) of ids."""
-        x = x.astype(np.int32)[:, None]
-        return self.place(x, slice(None)).astype(np.int32), (~(x >> self.shifts - 1) & 1).astype(np.uint16)
-
-
+        self.shifts = np.arange(0, bits, 4)[::-1]
+        counts = ((self.size - 1) >> self.shifts + 4) + 1
+        self.first = np.cumsum(counts) - counts
+        self.nodes = int(counts.sum())
+        self.left = np.zeros((self.nodes, 16), np.int32)  # the prior of a node's children to the left
+        for first, n, shift in zip(self.first.tolist(), counts.tolist(), self.shifts.tolist(), strict=True):
+            starts = self.below[np.minimum(np.arange(16 * n) << shift, self.size)].reshape(n, 16)
+            self.left[first : first + n] = starts - starts[:, :1]
+
+
+#: What an id adds to a node's counts, by its child: one to those of this child and of the children to its right.
+_UP_TO = (np.arange(16) >= np.arange(16)[:, None]).astype(np.uint16)
 _trees: dict[int, _Tree] = {}
 
 
@@ -87,34 +77,35 @@ class _Model:
         self.table = np.zeros(2 * lanes * SLOTS, np.uint32)  # of orders 1 and 2: an id, and how sure it is in the last two bits
         self.counts = np.tile(np.array(START), (lanes * CONTEXTS, 1))
         self.weights = np.full((3, lanes), 1 / 3)
+        self.own = ORDERS * lanes + self.at  # places of the orders and lanes
         self.slot = np.stack([self.at * SLOTS, (lanes + self.at) * SLOTS])
         self.context = np.stack([self.at * CONTEXTS, self.at * CONTEXTS + 1, self.at * CONTEXTS + 2 + CONFIDENT])
-        self.left, self.seen = np.zeros(lanes * self.tree.places, np.uint16), np.zeros(lanes, np.int64)
-        self.root = self.at * self.tree.places
+        self.left, self.seen = np.zeros((lanes * self.tree.nodes, 16), np.uint16), np.zeros(lanes, np.int64)  # ids up to a node's child
+        self.root = self.at * self.tree.nodes
         self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self.steps = 0
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """(the ids of orders 1 and 2, cumulative frequencies of HIT2, HIT1 and OTHER) by lane."""
+        """(the ids of orders 1 and 2, cumulative frequencies of HIT2, HIT1 and OTHER), rows over the lanes."""
         h1 = self.last * np.uint32(0x9E3779B1)
         h2 = (h1 ^ self.before * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D)
         self.s = self.slot + (np.stack([h1, h2]) >> np.uint32(21))
-        found = self.table[self.s]
+        found = self.table.take(self.s)
         self.guess, self.c = (found >> np.uint32(2)).astype(np.int64), (found & np.uint32(3)).astype(np.int64)
         k = self.context.copy()
         k[1:] += self.c
         self.k = k
-        n = self.counts[k]
-        self.p = n / (n[:, :, 0] + n[:, :, 1] + n[:, :, 2])[:, :, None]
-        mixed = self.p * self.weights[:, :, None]
-        mixed = mixed[0] + mixed[1] + mixed[2]
-        cumulative = np.zeros((len(self.at), 4), np.uint64)
-        np.cumsum((mixed * SCALE).astype(np.uint64) + U(1), axis=1, out=cumulative[:, 1:])
+        n = np.ascontiguousarray(self.counts.take(k, axis=0).transpose(2, 0, 1))  # by symbol, order and lane
+        self.p = n / (n[0] + n[1] + n[2])
+        mixed = self.p * self.weights
+        mixed = mixed[:, 0] + mixed[:, 1] + mixed[:, 2]
+        cumulative = np.zeros((4, len(self.at)), np.uint64)
+        np.cumsum((mixed * SCALE).astype(np.uint64) + U(1), axis=0, out=cumulative[1:])
         return self.guess, cumulative
 
     def learn(self, symbol: np.ndarray, ids: np.ndarray) -> None:
-        self.counts[self.k, symbol] += STEP
-        w = self.weights * self.p[:, self.at, symbol]
+        self.counts.reshape(-1)[3 * self.k + symbol] += STEP
+        w = self.weights * self.p.reshape(-1).take(3 * len(self.at) * symbol + self.own)
         self.weights = w * ((1 - FORGET) / (w[0] + w[1] + w[2])) + FORGET / 3
         right, c = self.guess == ids, self.c
         sure = np.where(right, np.minimum(c + 1, CONFIDENT), np.maximum(c - 1, 0))
@@ -124,48 +115,43 @@ class _Model:
         if self.steps % HALVE_EVERY == 0:
             self.counts = self.counts * 0.5 + 0.25
 
-    def share(self, lanes: np.ndarray, x: np.ndarray, at=None, left=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def share(self, lanes: np.ndarray, x: np.ndarray, at=None, rows=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of ids of some lanes by order 0: (frequencies below, own frequencies, totals); then order 0 learns them.
 
-        at, left: the places of the ids' paths and what is there, where find() has them.
+        at, rows: the nodes of the ids' paths and what is there, where find() has them.
         """
         t = self.tree
-        place, leftward = t.path(x) if t.paths is None else (t.paths[0][x], t.paths[1][x])
+        up = x[:, None] >> t.shifts
+        child = up & 15
         if at is None:
-            at = self.root[lanes][:, None] + place
-            left = self.left[at]
-        self.left[at] = left + leftward
-        left = left.astype(np.int32)
-        # what has the id itself: from the last turn to the left on, what that node has there less what later ones have
-        rightward = left * (1 - leftward)
-        end = t.bits - np.argmax(leftward[:, ::-1], axis=1) - 1
-        turned = leftward[np.arange(len(x)), end] == 1
-        after = np.cumsum(rightward, axis=1)
-        have = np.where(turned, left[np.arange(len(x)), end], self.seen[lanes])
-        own = have - (after[:, -1] - np.where(turned, after[np.arange(len(x)), end], 0))
-        below = t.below[x] + GAIN * after[:, -1]
+            at = (up >> 4) + t.first
+            at += self.root[lanes][:, None]
+            rows = self.left.take(at, axis=0)
+        self.left[at] = rows + _UP_TO.take(child, axis=0)
+        flat, place = rows.reshape(-1), (np.arange(0, 16 * child.size, 16) + child.ravel()).reshape(child.shape)
+        before = flat.take(place - 1, mode="wrap") * (child > 0)
+        own = flat.take(place[:, -1]).astype(np.int64) - before[:, -1]
+        below = t.below[x] + GAIN * before.sum(axis=1, dtype=np.int64)
         total = t.total + GAIN * self.seen[lanes]
         self.seen[lanes] += 1
         return below.astype(np.uint64), (t.prior[x] + GAIN * own).astype(np.uint64), total.astype(np.uint64)
 
     def find(self, lanes: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids of some lanes in whose frequencies the values fall, with the places of their paths and what is there."""
-        t, value = self.tree, value.astype(np.int64)
-        x, root = np.zeros(len(lanes), np.int64), self.root[lanes]
-        at, lefts = np.empty((len(lanes), t.bits), np.int64), np.empty((len(lanes), t.bits), np.uint16)
-        for level in range(t.bits):
-            place = (x >> t.whole[level]) << 4
-            if t.within[level]:
-                place += (x >> t.shifts[level]) & t.within[level]
-            place += t.first[level]
-            own = root + place
-            found = self.left[own]
-            at[:, level], lefts[:, level] = own, found
-            left = t.left[place] + GAIN * found.astype(np.int64)
-            right = value >= left
-            value -= left * right
-            x += right * np.int64(1 << t.bits - level - 1)
-        return x, at, lefts
+        """The ids of some lanes in whose frequencies the values fall, with the nodes of their paths and what is there."""
+        t, value = self.tree, value.astype(np.int32)
+        n = len(lanes)
+        x, root, each = np.zeros(n, np.int64), self.root[lanes], np.arange(0, 16 * n, 16)
+        at, rows = np.empty((n, len(t.shifts)), np.int64), np.empty((n, len(t.shifts), 16), np.uint16)
+        for level, first in enumerate(t.first.tolist()):
+            node = x + first
+            at[:, level] = own = root + node
+            rows[:, level] = found = self.left.take(own, axis=0)
+            left = t.left.take(node, axis=0)
+            left[:, 1:] += found[:, :-1] * np.int32(GAIN)
+            child = np.bitwise_count((value[:, None] >= left).view(np.uint64)).sum(axis=1, dtype=np.int64) - 1
+            value -= left.reshape(-1).take(each + child)
+            x = 16 * x + child
+        return x, at, rows
 
 
 def _settle(low: np.ndarray, width: np.ndarray, move) -> None:
@@ -207,8 +193,8 @@ def encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
     for x in ids:
         guess, cumulative = model.predict()
         symbol = np.where(x == guess[1], HIT2, np.where(x == guess[0], HIT1, OTHER))
-        below = cumulative[model.at, symbol]
-        _narrowed(low, width, slice(None), below, cumulative[model.at, symbol + 1] - below, cumulative[:, -1])
+        below = cumulative[symbol, model.at]
+        _narrowed(low, width, slice(None), below, cumulative[symbol + 1, model.at] - below, cumulative[-1])
         other = np.flatnonzero(symbol == OTHER)
         if len(other):
             _narrowed(low, width, other, *model.share(other, x[other]))
@@ -239,10 +225,10 @@ def decode_blocks(payloads: list[bytes], lengths: list[int], bits: int) -> list[
 
     for t in range(steps):
         guess, cumulative = model.predict()
-        value = np.minimum((code - low) // (width // cumulative[:, -1]), cumulative[:, -1] - U(1))
-        symbol = (cumulative[:, 1:] <= value[:, None]).sum(axis=1)
-        below = cumulative[model.at, symbol]
-        _narrowed(low, width, slice(None), below, cumulative[model.at, symbol + 1] - below, cumulative[:, -1])
+        value = np.minimum((code - low) // (width // cumulative[-1]), cumulative[-1] - U(1))
+        symbol = (cumulative[1:] <= value).sum(axis=0)
+        below = cumulative[symbol, model.at]
+        _narrowed(low, width, slice(None), below, cumulative[symbol + 1, model.at] - below, cumulative[-1])
         x = np.where(symbol == HIT2, guess[1], guess[0])
         other = np.flatnonzero(symbol == OTHER)
         if len(other):

@@ -150,6 +150,18 @@ def test_order_0_shares_add_up():
         assert found == [i for i in range(64) for _ in (0, 1)]
 
 
+def test_order_0_takes_a_row_for_four_bits():
+    """What an id touches are its path's rows of 16 counts, from encoder and decoder alike."""
+    model, lanes, x = _Model(3, 16), np.arange(3), np.array([5, 40_000, 65_535])
+    assert model.left.shape == (3 * (1 + 16 + 256 + 4096), 16)
+    below, own, _ = (a.copy() for a in model.share(lanes, x))
+    assert (model.left.any(axis=1).sum(), model.left.max()) == (12, 1)
+    found, at, rows = model.find(lanes, below)  # the first value of each id; now seen once, so its share is larger
+    assert found.tolist() == x.tolist() and at.shape == (3, 4) and rows.shape == (3, 4, 16)
+    again = model.share(lanes, x, at, rows)
+    assert again[0].tolist() == below.tolist() and (again[1] > own).all() and model.left.max() == 2
+
+
 def test_large_ids():
     docs, ids = read_segment(pack_segment([1], [np.array([2**24 - 1, 5, 2**24 - 1], np.uint32)], 8))
     assert ids[0].tolist() == [2**24 - 1, 5, 2**24 - 1]
