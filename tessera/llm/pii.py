@@ -89,37 +89,48 @@ def _luhn(s: str) -> str:
     return f"aggregate(sequence(1, length({s})), 0, (a, i) -> a + CASE WHEN i % 2 = 1 THEN {digit} WHEN {digit} > 4 THEN 2 * {digit} - 9 ELSE 2 * {digit} END)"
 
 
-def _surrogate(round_: int) -> str:
-    """SQL of the surrogate of (type, entity) with its seed."""
+def _drawn_anew(left: DataFrame, key: str, round_: int) -> DataFrame:
+    """(type, entity, surrogate) of left(type, entity), as drawn in this round.
+
+    What several formats share has a column of its own: Spark's parser keeps in the driver's heap what it learnt of long and
+    deeply nested SQL, 30 MB where each format spells it out.
+    """
     char = "substring(entity, i, 1)"
     digit = f"CASE WHEN i = 1 AND {char} <> '0' THEN 1 + {_drawn('9')} ELSE {_drawn('10')} END"
 
-    def mapped(until: str, letters: int) -> str:
-        letter = f"char(97 + {_drawn(str(letters))})"
+    def mapped(until: str, letters: str) -> str:
+        letter = f"char(97 + {_drawn(letters)})"
         return f"array_join(transform(sequence(1, {until}), i -> CASE WHEN {char} RLIKE '[0-9]' THEN cast({digit} AS string) WHEN {char} RLIKE '[@_.+-]' THEN {char} ELSE {letter} END), '')"
 
-    top = "length(substring_index(entity, '.', -1))"  # an address keeps its top-level domain
     octet = f"CASE length(o) WHEN 1 THEN 1 + {_drawn('9')} WHEN 2 THEN 10 + {_drawn('90')} ELSE 100 + {_drawn('155')} END" if round_ < WIDER else _drawn("256")
     octets = f"array_join(transform(split(entity, '[.]'), (o, i) -> cast({octet} AS string)), '.')"
-    body = mapped("length(entity)", 26)
-    card = f"concat(substring({body}, 1, length(entity) - 1), cast(pmod({_luhn('entity')} - {_luhn(f"concat(substring({body}, 1, length(entity) - 1), '0')")}, 10) AS string))"
     more = min(9, round_ - WIDER + 2)
     longer = "''" if round_ < WIDER else f"lpad(cast({_drawn(str(10**more), '-1')} AS string), {more}, '0')"
-    cases = [
-        f"WHEN type = 'EMAIL' THEN concat({longer}, {mapped(f'length(entity) - {top}', 26)}, substring_index(entity, '.', -1))",
-        f"WHEN type = 'IP' THEN {octets}",
-        f"WHEN type = 'HEX' THEN concat({body.replace('char(97 + pmod(xxhash64(seed, i), 26))', 'char(97 + pmod(xxhash64(seed, i), 6))')}, {longer})",
-        f"WHEN type = 'ACCOUNT' THEN concat(substring(entity, 1, 2), substring({body}, 3), {longer})",
-        f"WHEN type = 'NUMBER' AND length(entity) BETWEEN 13 AND 19 THEN {card}",
-        f"WHEN type = 'NUMBER' THEN concat({body}, {longer})",
-    ]
+    kind, card = F.col("type"), F.expr("type = 'NUMBER' AND length(entity) BETWEEN 13 AND 19")
+    columns = {
+        "seed": F.sha2(F.concat_ws("|", F.lit(key), F.lit(round_), "type", "entity"), 256),
+        "longer": F.expr(longer),
+        "top": F.expr("substring_index(entity, '.', -1)"),  # an address keeps its top-level domain
+        "until": F.when(kind == "EMAIL", F.expr("length(entity) - length(top)")).when(kind.isin("HEX", "ACCOUNT", "NUMBER"), F.length("entity")),
+        "letters": F.when(kind == "HEX", 6).otherwise(26),
+        "body": F.when(F.col("until").isNotNull(), F.expr(mapped("until", "letters"))),
+        "zeroed": F.when(card, F.expr("concat(substring(body, 1, length(entity) - 1), '0')")),
+        "check": F.when(card, F.expr(f"pmod({_luhn('entity')} - {_luhn('zeroed')}, 10)")),
+    }
+    out = (
+        F.when(kind == "EMAIL", F.concat("longer", "body", "top")).when(kind == "IP", F.expr(octets))
+        .when(kind == "ACCOUNT", F.expr("concat(substring(entity, 1, 2), substring(body, 3), longer)"))
+        .when(card, F.expr("concat(substring(body, 1, length(entity) - 1), cast(check AS string))")).when(kind.isin("HEX", "NUMBER"), F.concat("body", "longer"))
+    )
     for script, syllables in SYLLABLES.items():
         some = lambda n, s=syllables: f"array_join(transform(sequence(1, {n}), i -> {_quoted(s)}[{_drawn(str(len(s)))}]), '')"
         for gender in "FMN":
             who, pool = script + gender, FIRST[script + gender]
             first = f"lower({_quoted(pool)}[{_drawn(str(len(pool)), '0')}])" if round_ < 2 else f"concat({some(round_)}, '{ENDINGS[who]}')"
-            cases += [f"WHEN type = 'FIRST_{who}' THEN {first}", f"WHEN type = 'LAST_{who}' THEN concat({some(3 + round_)}, '{LAST_ENDINGS.get(who, '')}')"]
-    return f"CASE {' '.join(cases)} END"
+            out = out.when(kind == f"FIRST_{who}", F.expr(first)).when(kind == f"LAST_{who}", F.expr(f"concat({some(3 + round_)}, '{LAST_ENDINGS.get(who, '')}')"))
+    for name, column in columns.items():
+        left = left.withColumn(name, column)
+    return left.select("type", "entity", out.alias("surrogate"))
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
@@ -130,9 +141,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """
     done, left, n = [], entities, 0
     while True:
-        seed = F.sha2(F.concat_ws("|", F.lit(key), F.lit(n), "type", "entity"), 256)
-        drawn = left.withColumn("seed", seed).select("type", "entity", F.expr(_surrogate(n)).alias("surrogate"))
-        first = drawn.groupBy("type", "surrogate").agg(F.min("entity").alias("entity"))
+        first = _drawn_anew(left, key, n).groupBy("type", "surrogate").agg(F.min("entity").alias("entity"))
         for taken in [entities.select("type", F.col("entity").alias("surrogate")), *(d.select("type", "surrogate") for d in done)]:
             first = first.join(taken, ["type", "surrogate"], "left_anti")
         done.append(written(first.select("type", "entity", "surrogate")))
