@@ -174,8 +174,9 @@ class Pieces(dict):
     """The ids of a text's pieces, as bytes; a piece that is new is encoded once. Starts anew when full.
 
     A piece of letters, perhaps with ASCII punctuation after it, is one or two words to the tokenizer's own splitting, so
-    its BPE model encodes them directly, and forms with other punctuation share the letters' ids. All other pieces take
-    the whole tokenizer.
+    its BPE model encodes them directly, and forms with other punctuation share the letters' ids; where the tokenizer
+    lower-cases, only Latin letters that NFC leaves alone and that have a single lower-case one. All other pieces take the
+    whole tokenizer.
     """
 
     def __init__(self, path: str, lowers: bool):
@@ -188,12 +189,12 @@ class Pieces(dict):
             self.clear()
         core = piece.rstrip(string.punctuation)
         letters = core[1:] if core[:1] == " " else core
-        if letters.isalpha() and (not self.lowers or letters.isascii()):
+        if letters.isalpha() and (not self.lowers or letters.isascii() or max(letters) < "\u0250" and "\u0130" not in letters):
             if len(core) < len(piece):
                 ids = self[core] + self[piece[len(core) :]]
             else:
                 word = core.lower() if self.lowers else core
-                raw = word.encode("utf-8").decode("latin-1").translate(_LETTERS)
+                raw = word if self.lowers and word.isascii() else word.encode("utf-8").decode("latin-1").translate(_LETTERS)
                 ids = array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
         else:
             ids = array("I", self.whole.encode(piece, add_special_tokens=False).ids).tobytes()

@@ -11,10 +11,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tessera.llm.common import encode_texts
+from tessera.llm.common import Pieces, encode_texts
 from tessera.llm.packing import BYTE_PIECES, BestFit, pack, pieces
 from tessera.llm.substrings import remove_repeats
-from tessera.llm.token_files import _Model, WORD_PIECES, decode_blocks, encode_blocks, pack_segment, read_segment, read_tokens, write_tokens
+from tessera.llm.token_files import _Model, _shares, WORD_PIECES, decode_blocks, encode_blocks, pack_segment, read_segment, read_tokens, write_tokens
 
 
 def kept_words(rows, span):
@@ -162,6 +162,43 @@ def test_order_0_takes_a_row_for_four_bits():
     assert again[0].tolist() == below.tolist() and (again[1] > own).all() and model.left.max() == 2
 
 
+@pytest.mark.parametrize("bits,lanes,steps", [(6, 3, 90), (16, 33, 40), (18, 2, 17), (1, 1, 1)])
+def test_order_0_of_whole_blocks(bits, lanes, steps):
+    """The encoder's shares, counted over whole blocks, are those that the decoder's model gives step by step."""
+    r = np.random.default_rng(bits)
+    ids, other = r.integers(0, 1 << bits, (steps, lanes)).astype(np.uint32), r.random((steps, lanes)) < 0.8
+    ids[::3] = ids[0]
+    other[:, 0] = lanes == 1
+    shares, model = _shares(_Model(lanes, bits).tree, ids, other), _Model(lanes, bits)
+    for t in range(steps):
+        at = np.flatnonzero(other[t])
+        want = np.repeat(np.array([[0], [1], [1]], np.uint64), lanes, axis=1)
+        if len(at):
+            want[:, at] = model.share(at, ids[t, at].astype(np.int64))
+        assert shares[:, t].tolist() == want.tolist()
+
+
+def test_blocks_of_any_length():
+    r = np.random.default_rng(8)
+    blocks = [np.minimum(r.zipf(1.2, n), 40_000).astype(np.uint32) for n in (300, 300, 1, 0, 17)]
+    payloads = encode_blocks(blocks, 16)
+    assert [x.tolist() for x in decode_blocks(payloads, [len(b) for b in blocks], 16)] == [b.tolist() for b in blocks]
+    with pytest.raises(ValueError):
+        pack_segment([1], [np.zeros(1 << 16, np.uint32)], 1 << 16)
+
+
+def test_latin_words_take_the_bpe_model():
+    """Words of Latin letters get the whole tokenizer's ids without running it, but for a letter with two lower-case ones."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+    words = [*letters, *(f"{a}{c}{b}," for c in letters for a, b in (("q", "Z"), ("\u00c9", "\u0178")))]
+    want = [LOADED["word_bpe_49k.json"].encode(w, add_special_tokens=False).ids for w in words]
+    cache, whole = Pieces(path, True), []
+    real, cache.whole = cache.whole, type("Whole", (), {"encode": lambda _, p, **k: whole.append(p) or real.encode(p, **k)})()
+    assert [np.frombuffer(cache[w], np.uint32).tolist() for w in words] == want
+    assert {p for p in whole if p != ","} == {w for w in words if "\u0130" in w}
+
+
 def test_large_ids():
     docs, ids = read_segment(pack_segment([1], [np.array([2**24 - 1, 5, 2**24 - 1], np.uint32)], 8))
     assert ids[0].tolist() == [2**24 - 1, 5, 2**24 - 1]
