@@ -79,6 +79,39 @@ def test_exists(data, no):
     assert answers(out, ["s", "a", "b"]) == expected(want, ["s", "a", "b"])
 
 
+def ungrouped_products(plan):
+    """Joins without a condition of an optimized plan, of which a side isn't grouped."""
+    sides = [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.nodeName() == "Join" and plan.condition().isEmpty() and not all("Aggregate" in x.toString() for x in sides)
+    return own + sum(map(ungrouped_products, sides))
+
+
+AGGREGATES = {"n": ("COUNT(*)", len), "k": ("COUNT(?c)", lambda ms: sum("c" in m for m in ms)), "x": ("SUM(?c)", lambda ms: sum(int(m["c"][1]) for m in ms)), "y": ("SUM(?a)", lambda ms: sum(int(m["a"][1]) for m in ms)), "lo": ("MIN(?c)", lambda ms: min(int(m["c"][1]) for m in ms))}
+
+
+@pytest.mark.parametrize("by", ["s", "b", "t", "s t", ""])
+def test_aggregates_of_a_join_group_its_sides_first(data, by):
+    d, rows = data
+    items = " ".join(f"({f} AS ?{v})" for v, (f, _) in AGGREGATES.items())
+    for left, own in ((LEFT, side(rows, 0)), ("{ ?s <http://x/p0> ?a OPTIONAL { ?s <http://x/none> ?b } }", [{k: v for k, v in m.items() if k != "b"} for m in side([r for r in rows if r[1] != P[1]], 0)])):
+        out = query(d, f"SELECT {' '.join('?' + v for v in by.split())} {items} {{ {left} {RIGHT} }}" + (f" GROUP BY {' '.join('?' + v for v in by.split())}" if by else ""))
+        groups = {}
+        for m, n in itertools.product(own, right(rows)):
+            if compatible(m, n):
+                groups.setdefault(tuple((m | n).get(v) for v in by.split()), []).append(m | n)
+        want = [(*k, *(f(ms) for _, f in AGGREGATES.values())) for k, ms in groups.items()]
+        clean = lambda r: tuple(None if x is None else str(x).split("^")[0].strip('"<>') for x in r)
+        assert sorted(map(clean, out.df.collect()), key=str) == sorted(map(clean, want), key=str)
+        assert not ungrouped_products(out.df._jdf.queryExecution().optimizedPlan())
+
+
+def test_aggregates_of_a_product_of_decimals(spark):
+    dec = "^^<http://www.w3.org/2001/XMLSchema#decimal>"
+    d = from_quads(spark, [(f"<http://x/{i}>", "<http://x/p>", f'"{v}"{dec}', None) for i, v in enumerate(("0.1", "2.5", "-1.25"))])
+    r = query(d, "SELECT (SUM(?a) AS ?s) (AVG(?b) AS ?m) (COUNT(*) AS ?n) { { ?x <http://x/p> ?a } { ?y <http://x/p> ?b } }").df.first()
+    assert r.s.startswith('"4.05"') and r.m.startswith('"0.45"') and r.n == 9
+
+
 def test_patterns_from_data(spark):
     d = from_quads(spark, [("<http://x/a>", "<http://x/p>", f'"{p}"', None) for p in ("a.c", "(", "(?=a)", "[z]", "^A", "(a)(b)", "\\\\\\\\1")])
     got = {r["q"]: (r["plain"], r["any"], r["to"]) for r in query(d, 'SELECT (STR(?p) AS ?q) (REGEX("abc", ?p) AS ?plain) (REGEX("abc", ?p, IF(STR(?p) = "^A", "i", "")) AS ?any) (REPLACE("abc", ?p, "<$2$1$9>") AS ?to) { ?s <http://x/p> ?p }').df.collect()}
