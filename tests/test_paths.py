@@ -91,6 +91,10 @@ def tables(spark, tmp_path_factory):
         ("?x <urn:t:b#b_key> ?k . ?x <urn:t:a#ref-b_key>* ?y", 3),
         ("?x <urn:t:a#a_key> 7 . ?x <urn:t:a#ref-b_key>? ?y", 2),
         ("?x <urn:t:a#a_key> ?k . ?x (<urn:t:a#ref-b_key>/^<urn:t:a#ref-b_key>)? ?y . ?y <urn:t:b#b_key> ?b", 0),
+        ("?x <urn:t:a#a_key> ?k . ?x !(<urn:t:a#a_key>|<urn:t:a#a_name>) ?y", 18),
+        ("?x <urn:t:b#b_key> ?k . ?x !(^<urn:t:a#a_key>) ?y", 9),
+        ("<urn:t:b/1> !(^<urn:t:a#a_key>) ?y", 3),
+        ("?x !<urn:t:a#a_key> <urn:t:b/1>", 3),
     ],
 )
 def test_tables_that_no_bound_end_can_be_in_are_not_read(tables, text, n):
